@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corpusmill.llm.common import map_slices
-from corpusmill.llm.pretokens import ChunkCache, chunks_of, find_pretokens
+from corpusmill.llm.int_table import IntTable
+from corpusmill.llm.pretokens import CACHE_CHARS, CACHE_CHUNKS, Slots, chunks_of, find_pretokens
 
 _PAIRS_KEPT = 1_000_000
 _NEVER = 1 << 60
@@ -71,9 +72,12 @@ class PrefixTables:
         if known is None:
             if len(self.compatible) > _PAIRS_KEPT:
                 self.compatible.clear()
-            known = self.compatible[left, right] = self.merged(self.bytes_of[right]) == [right] if left < 0 else self._apart(left, right)
+            known = self.compatible[left, right] = self.judge(left, right)
         return known
 
+    def judge(self, left: int, right: int) -> bool:
+        return self.merged(self.bytes_of[right]) == [right] if left < 0 else self._apart(left, right)
+
     def _apart(self, a: int, b: int) -> bool:
         ranks, bytes_of = self.ranks, self.bytes_of
         until_a = until_b = _NEVER
@@ -127,32 +131,126 @@ class PrefixEncoding:
         return out[::-1]
 
 
-class Codec:
-    """Encodes texts match by match of the split pattern to little-endian 32-bit ids, and decodes these."""
+class BatchEncoder:
+    """The last tokens of all prefixes of many byte strings at once, as columns of a matrix.
+
+    A trie, walked from every position together, finds the tokens that start there; then
+    prefix by prefix the longest token that fits the one before it is taken.
+    """
 
     def __init__(self, tables: PrefixTables):
         self.tables = tables
-        self.words = ChunkCache(self._word)
-        self.chunks = ChunkCache(lambda chunk: self._pieces(find_pretokens(" " + chunk)))
-        self.vocabulary = [tables.bytes_of.get(i, b"") for i in range(max(tables.bytes_of) + 1)]
+        nodes: dict[tuple[int, int], int] = {}
+        token_at = [-1]
+        for data, token in tables.ranks.items():
+            node = 0
+            for byte in data:
+                node = nodes.setdefault((node, byte), len(token_at))
+                if node == len(token_at):
+                    token_at.append(-1)
+            token_at[node] = token
+        self.edges = IntTable([n * 256 + b for n, b in nodes], list(nodes.values()))
+        self.token_at = np.array(token_at, np.int64)
+        self.size_of = np.zeros(max(tables.bytes_of) + 1, np.int64)
+        for token, data in tables.bytes_of.items():
+            self.size_of[token] = len(data)
+        self.pairs = IntTable()
+
+    def _fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = ((left + 1) << 20) | right
+        known = self.pairs.get(key)
+        if (unknown := known < 0).any():
+            if self.pairs.used > _PAIRS_KEPT:
+                self.pairs = IntTable()
+                unknown[:] = True
+            new = np.unique(key[unknown])
+            self.pairs.insert(new, np.array([self.tables.judge((x >> 20) - 1, x & 0xFFFFF) for x in new.tolist()], np.int64))
+            known = self.pairs.get(key)
+        return known == 1
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each (1 to ROW_BYTES bytes), little-endian 32 bits each."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-size, kind="stable")
+        size, width = size[order], int(size.max())
+        rows = np.zeros((len(words), width), np.uint8)
+        rows[np.arange(width) < size[:, None]] = np.frombuffer(b"".join([words[i] for i in order.tolist()]), np.uint8)
+        at = np.flatnonzero(np.arange(width) < size[:, None])
+        flat, node, tokens = rows.ravel(), np.zeros(len(at), np.int64), []
+        room = size[at // width] - at % width
+        while len(tokens) < width and len(at):
+            inside = room > len(tokens)
+            at, node, room = at[inside], node[inside], room[inside]
+            node = self.edges.get(node * 256 + flat[at + len(tokens)])
+            at, node, room = at[on := node >= 0], node[on], room[on]
+            tokens.append(np.full(rows.shape, -1, np.int32))
+            tokens[-1].ravel()[at] = self.token_at[node]
+        last = np.full((len(words), width + 1), -1, np.int32)
+        reach = np.searchsorted(-size, -np.arange(width + 1), side="right")  # rows of at least so many bytes
+        for end in range(1, width + 1):
+            open_rows = np.arange(reach[end])
+            for length in range(min(end, len(tokens)), 0, -1):
+                token = tokens[length - 1][open_rows, end - length]
+                some = token >= 0
+                if some.any():
+                    tried, right = open_rows[some], token[some].astype(np.int64)
+                    good = self._fit(last[tried, end - length].astype(np.int64), right)
+                    last[tried[good], end] = right[good]
+                    open_rows = open_rows[last[open_rows, end] < 0]
+                    if not len(open_rows):
+                        break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
+        ids, end, row, n = np.zeros((len(words), width), "<u4"), size.copy(), np.arange(len(words)), np.zeros(len(words), np.int64)
+        while len(row):
+            token = last[row, end]
+            n[row] += 1
+            ids[row, width - n[row]] = token
+            end = end - self.size_of[token]
+            row, end = row[end > 0], end[end > 0]
+        out: list[bytes] = [b""] * len(words)
+        for i, row, k in zip(order.tolist(), ids, (width - n).tolist(), strict=True):
+            out[i] = row[k:].tobytes()
+        return out
 
-    def _word(self, pretoken: str) -> bytes:
-        data = pretoken.encode()
-        token = self.tables.ranks.get(data)
-        if token is not None and self.tables.fit(-1, token):
-            return token.to_bytes(4, "little")
-        return b"".join([x.to_bytes(4, "little") for x in PrefixEncoding(self.tables, data).tokens()])
 
-    def _pieces(self, pretokens: list[str]) -> bytes:
-        return b"".join(map(self.words.__getitem__, pretokens))
+#: Longer pre-tokens are encoded one by one.
+ROW_BYTES = 32
 
-    def encode(self, text: str) -> bytes:
-        chunks = chunks_of(text)
-        if chunks is None:
-            return self._pieces(find_pretokens(text))
-        self.chunks.trim()
-        self.words.trim()
-        return self._pieces(find_pretokens(chunks[0])) + b"".join(map(self.chunks.__getitem__, chunks[1:]))
+
+class Codec:
+    """Encodes texts match by match of the split pattern to little-endian 32-bit ids, and decodes these."""
+
+    def __init__(self, tables: PrefixTables):
+        self.tables, self.batch = tables, BatchEncoder(tables)
+        self.vocabulary = [tables.bytes_of.get(i, b"") for i in range(max(tables.bytes_of) + 1)]
+        self.words: dict[str, bytes] = {}
+        self.slots, self.ids = Slots(), []
+
+    def _learn(self, pretokens: list[list[str]]) -> None:
+        new = list(set().union(*pretokens).difference(self.words))
+        data = [w.encode() for w in new]
+        short = [i for i, w in enumerate(data) if len(w) <= ROW_BYTES]
+        for i in set(range(len(new))).difference(short):
+            self.words[new[i]] = np.array(PrefixEncoding(self.tables, data[i]).tokens(), "<u4").tobytes()
+        if short:
+            self.words.update(zip([new[i] for i in short], self.batch([data[i] for i in short]), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if self.slots.used > CACHE_CHUNKS or len(self.words) > CACHE_CHUNKS:
+            self.words, self.slots, self.ids = {}, Slots(), []
+        parts: list[tuple[list[str], list[int]]] = []
+        for text in texts:
+            chunks = chunks_of(text)
+            if chunks is None or len(max(chunks, key=len)) > CACHE_CHARS:
+                parts.append((find_pretokens(text), []))
+            else:
+                parts.append((find_pretokens(chunks[0]), list(map(self.slots.__getitem__, chunks[1:]))))
+        new, self.slots.new = [find_pretokens(" " + c) for c in self.slots.new], []
+        self._learn([*new, *(head for head, _ in parts)])
+        word = self.words.__getitem__
+        self.ids += [b"".join(map(word, w)) for w in new]
+        return [b"".join(map(word, head)) + b"".join(map(self.ids.__getitem__, slots)) for head, slots in parts]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -174,7 +272,7 @@ def encode_documents(documents: DataFrame, path: str) -> DataFrame:
         codec = _codec(path)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [codec.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
+            ids = codec.encode([t or "" for t in batch.column(1).to_pylist()])
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["doc_id", "text", "ids"])
 
         return work
@@ -206,7 +304,7 @@ def round_trip_digests(documents: DataFrame, path: str) -> DataFrame:
         codec = _codec(path)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [codec.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
+            ids = codec.encode([t or "" for t in batch.column(1).to_pylist()])
             return pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in ids])],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -8,7 +8,6 @@ pre-tokens. A worker keeps what it has worked out for chunks in a bounded cache.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 import regex
 
@@ -26,19 +25,16 @@ def chunks_of(text: str) -> list[str] | None:
     return None if _odd_space(text) else text.split(" ")
 
 
-class ChunkCache(dict):
-    """chunk -> what ``of`` gives for it; emptied between texts when it is full, long chunks aren't kept."""
+class Slots(dict):
+    """chunk -> number of its slot; a new chunk waits in ``new`` until its owner has worked it out."""
 
-    def __init__(self, of: Callable[[str], object]):
+    def __init__(self):
         super().__init__()
-        self.of = of
-
-    def __missing__(self, chunk: str) -> object:
-        found = self.of(chunk)
-        if len(chunk) <= CACHE_CHARS:
-            self[chunk] = found
-        return found
-
-    def trim(self) -> None:
-        if len(self) > CACHE_CHUNKS:
-            self.clear()
+        self.new: list[str] = []
+        self.used = 0
+
+    def __missing__(self, chunk: str) -> int:
+        slot = self[chunk] = self.used
+        self.used += 1
+        self.new.append(chunk)
+        return slot

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corpusmill.llm.common import map_slices
-from corpusmill.llm.pretokens import CACHE_CHARS, CACHE_CHUNKS, chunks_of, find_pretokens
+from corpusmill.llm.int_table import IntTable
+from corpusmill.llm.pretokens import CACHE_CHARS, CACHE_CHUNKS, Slots, chunks_of, find_pretokens
 
 _NONE = np.int64(1) << 40
 
@@ -29,12 +30,11 @@ def byte_chars() -> dict[str, int]:
 
 
 class MergeTable:
-    """Merge rules as sorted keys left * 2**20 + right, with rank and merged symbol."""
+    """Merge rules by left * 2**20 + right, with rank and merged symbol."""
 
     def __init__(self, first: np.ndarray, pairs: np.ndarray, merged: np.ndarray):
         self.first = first  # symbol of each byte
-        order = np.argsort(keys := (pairs[:, 0] << 20) + pairs[:, 1], kind="stable")
-        self.keys, self.rank, self.merged = keys[order], order.astype(np.int64), merged[order]
+        self.rules, self.merged = IntTable((pairs[:, 0] << 20) + pairs[:, 1], np.arange(len(pairs))), merged
 
     @classmethod
     def from_json(cls, path: str) -> MergeTable:
@@ -57,9 +57,8 @@ class MergeTable:
         while len(symbol):
             inner = owner[1:] == owner[:-1]
             key = (symbol[:-1] << 20) + symbol[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.where(inner & (self.keys[at] == key), self.rank[at], _NONE)
-            rank = np.append(rank, _NONE)  # a pair stands at its left symbol
+            rank = self.rules.get(key)
+            rank = np.append(np.where(inner & (rank >= 0), rank, _NONE), _NONE)  # a pair stands at its left symbol
             starts = np.flatnonzero(np.append(True, ~inner))
             lowest = np.repeat(np.minimum.reduceat(rank, starts), lengths := np.diff(np.append(starts, len(symbol))))
             active = lowest < _NONE
@@ -71,7 +70,7 @@ class MergeTable:
             if len(place) > 1:  # of overlapping places (a a a) every second one, from the left
                 fresh = np.append(True, np.diff(place) > 1)
                 place = place[(place - place[fresh][np.cumsum(fresh) - 1]) % 2 == 0]
-            symbol[place] = self.merged[at[place]]
+            symbol[place] = self.merged[rank[place]]
             active[place + 1] = False
             symbol, owner = symbol[active], owner[active]
         return result
@@ -82,26 +81,10 @@ def _table(path: str) -> MergeTable:
     return MergeTable.from_json(path)
 
 
-class _Slots(dict):
-    """chunk -> number of its slot; a new chunk waits in ``new`` until its count is worked out."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-        self.used = 0
-
-    def __missing__(self, chunk: str) -> int:
-        slot = self.used
-        self.used += 1
-        self.new.append(chunk)
-        self[chunk] = slot
-        return slot
-
-
 class TokenCounter:
     def __init__(self, merges: MergeTable, special: tuple[str, ...] = ()):
         self.merges, self.special = merges, special
-        self.slots, self.count = _Slots(), np.zeros(0, np.int64)
+        self.slots, self.count = Slots(), np.zeros(0, np.int64)
 
     def _settle(self) -> None:
         """Works out the chunks that are new."""
@@ -118,7 +101,7 @@ class TokenCounter:
 
     def __call__(self, texts: list[str | None]) -> list[int]:
         if self.slots.used > CACHE_CHUNKS:
-            self.slots, self.count = _Slots(), np.zeros(0, np.int64)
+            self.slots, self.count = Slots(), np.zeros(0, np.int64)
         found, loose, owner, sizes = [], [], [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             parts = [text or ""]
@@ -127,7 +110,7 @@ class TokenCounter:
             sizes[i] += len(parts) - 1
             for part in filter(None, parts):
                 chunks = chunks_of(part)
-                if chunks is None or any(len(x) > CACHE_CHARS for x in chunks):
+                if chunks is None or len(max(chunks, key=len)) > CACHE_CHARS:
                     pieces = find_pretokens(part)
                 else:
                     pieces = find_pretokens(chunks[0])
