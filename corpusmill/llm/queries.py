@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe, fingerprints, jaccard_join, langid, packing, token_counts, toxicity
+from corpusmill.llm import bpe, fingerprints, jaccard_join, langid, packing, token_counts, toxicity, url_filters
 from corpusmill.llm.common import table
 
 
@@ -37,5 +37,13 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op3_jaccard_join, op4_fingerprints, op5_packing, op6_toxicity, op7_token_counts, op8_byte_bpe)}
+#: Rules of op10: verdict, host, path.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES = {f.__name__: f for f in (op1_langid, op3_jaccard_join, op4_fingerprints, op5_packing, op6_toxicity, op7_token_counts, op8_byte_bpe, op10_url_filters)}
 ORACLES: dict[str, str] = {}
