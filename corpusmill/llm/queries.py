@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe, fingerprints, jaccard_join, langid, packing, token_counts, toxicity, url_filters
+from corpusmill.llm import bpe, fingerprints, jaccard_join, langid, packing, token_counts, toxicity, url_filters, warc
 from corpusmill.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.contents(warc.write(table(spark, sf_dir, "pages"), warc.shared_folder(spark, "warc"), least_bytes=0), spark)
+
+
 #: Rules of op10: verdict, host, path.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -45,5 +49,20 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op3_jaccard_join, op4_fingerprints, op5_packing, op6_toxicity, op7_token_counts, op8_byte_bpe, op10_url_filters)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_langid, op3_jaccard_join, op4_fingerprints, op5_packing, op6_toxicity, op7_token_counts, op8_byte_bpe, op9_warc, op10_url_filters)}
+ORACLES: dict[str, str] = {
+    "op9_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+        d AS (
+            SELECT page_id, octet_length(payload) AS n, min(page_id) OVER (PARTITION BY payload) AS first_id,
+                array_to_string(list_transform(range(8), lambda g: (
+                    array_to_string(list_transform([32768, 1024, 32, 1], lambda u:
+                        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, 5 * g + 1, 5) AS BIGINT) // u) % 32 + 1 AS INTEGER), 1)), '')
+                )), '') AS digest
+            FROM p)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+            CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+        FROM d
+    """,
+}
