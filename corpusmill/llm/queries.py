@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe, fingerprints, jaccard_join, langid, packing, token_counts, toxicity, url_filters, warc
+from corpusmill.llm import ann, bpe, fingerprints, jaccard_join, langid, packing, token_counts, toxicity, url_filters, warc
 from corpusmill.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked(table(spark, sf_dir, "documents"), words=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
@@ -49,7 +53,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op3_jaccard_join, op4_fingerprints, op5_packing, op6_toxicity, op7_token_counts, op8_byte_bpe, op9_warc, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_ann, op3_jaccard_join, op4_fingerprints, op5_packing, op6_toxicity, op7_token_counts, op8_byte_bpe, op9_warc, op10_url_filters)}
 ORACLES: dict[str, str] = {
     "op9_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS h FROM pages),
