@@ -255,3 +255,15 @@ def linked(documents: DataFrame, words: int = 5, percent: int = 80, most_common:
     return rows.select("rid", "doc_id", "key", "n").join(final, "key", "left").select(
         "doc_id", "key", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (empty | (F.col("kept_text") & F.col("doc_id").eqNullSafe(F.col("component_id")))).alias("keeper"),
     )
+
+
+def without_near_copies(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of documents, all columns, that stand for their component: one of each, that of the least doc_id.
+
+    Texts without words stay. Rows of equal doc_id and text leave one; of nulls likewise.
+    """
+    columns = documents.columns
+    keepers = linked(documents, words, percent).where("keeper").select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"))
+    keyed = documents.select("*", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("_text_key"))
+    kept = keyed.join(keepers, (keyed["_text_key"] == keepers["_key"]) & keyed["doc_id"].eqNullSafe(keepers["_id"]), "left_semi")
+    return kept.dropDuplicates(["_text_key", "doc_id"]).select(columns)
