@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from corpusmill.plans import retrieval
+
+_PLANS = (retrieval,)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for p in _PLANS for k, f in p.QUERIES.items()}
+ORACLES: dict[str, str] = {k: s for p in _PLANS for k, s in p.ORACLES.items()}
 FLAGSHIP = "bm25_two_lane_topk"
