@@ -9,8 +9,8 @@ affects speed. Documents of equal text form a class, classes of equal size and p
 First round: within each posting list of a prefix shingle, and each band of sizes,
 groups are compared with one pivot only, and members of a group with its first member.
 Second round: what still lies in different components though it shares a prefix shingle is
-expanded to classes, and all these pairs are compared. Pairs pass a filter on sizes and
-one on parity bitmaps, which bound the overlap from above, before texts are read and
+expanded to classes, and all these pairs are compared. Pairs pass filters on sizes, on the shingle's
+places and on parity bitmaps, which bound the overlap from above, before texts are read and
 similarities are verified. So no link between components is lost, and a large group of
 near copies costs as many comparisons as it has members.
 """
@@ -233,18 +233,31 @@ def linked(documents: DataFrame, words: int = 5, percent: int = 80, most_common:
     classes = checkpointed(reps.join(groups, "group_key").drop("group_key"))
 
     band = F.floor(F.log(F.col("n")) / float(np.log(100 / percent)))
-    postings = classes.where("cls = gid").select("gid", band.alias("band"), F.explode("prefix").alias("shingle"))
-    pivots = postings.groupBy("shingle", "band").agg(F.min("gid").alias("pivot"), F.max("gid").alias("last")).where("pivot < last").drop("last")
-    stars = postings.join(pivots, ["shingle", "band"]).where("gid > pivot").select(F.col("gid").alias("a"), F.col("pivot").alias("b")).distinct()
+    postings = classes.where("cls = gid").select("gid", "n", band.alias("band"), F.posexplode("prefix").alias("at", "shingle"))
+    # a list's pivot is a member that has the shingle early, so has few of its own before it, and is like most others
+    pivots = postings.groupBy("shingle", "band").agg(F.min_by("gid", "at").alias("pivot"), F.min("at").alias("pivot_at"), F.count("*").alias("members")).where("members > 1").drop("members")
+    near = (F.col("n") - F.greatest("at", "pivot_at")) * (100 + percent) >= 2 * percent * F.col("n")
+    met = postings.join(pivots, ["shingle", "band"]).where((F.col("gid") != F.col("pivot")) & near).groupBy("gid", "pivot").agg(F.count("*").alias("shared"), F.min("pivot_at").alias("pivot_at"))
+    # of the pivots that a group meets, two; what they don't link is left to the second round
+    chosen = met.groupBy("gid").agg(F.array_distinct(F.array(F.min_by("pivot", "pivot_at"), F.max_by("pivot", "shared"))).alias("pivots"))
+    stars = chosen.select(F.col("gid").alias("a"), F.explode("pivots").alias("b"))
     within = classes.where("cls <> gid").select(F.col("cls").alias("a"), F.col("gid").alias("b"))
     links = checkpointed(_verified(stars.union(within), classes, documents, words, percent))
     joined = checkpointed(components(links))
 
-    placed = classes.join(joined, classes["cls"] == joined["node"], "left").select("cls", "n", F.coalesce("component", "cls").alias("component"), F.explode("prefix").alias("shingle"))
+    names = classes.join(joined, classes["cls"] == joined["node"], "left").select("cls", "n", "prefix", "bits", F.coalesce("component", "cls").alias("component"))
+    placed = names.select("cls", "component", F.posexplode("prefix").alias("at", "shingle"))
     across = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
-    rest = checkpointed(placed.join(across, "shingle"))
+    folded = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.aggregate(F.sequence(F.lit(1), F.lit(BITMAP_BITS // 64 // 4 - 1)), F.get("bits", i), lambda x, j: x.bitwiseXOR(F.get("bits", i + 4 * j))))
+    marks = names.select("cls", "n", "component", folded.alias("f")).select("cls", "n", "component", *(F.get("f", i).alias(f"f{i}") for i in range(4)))
+    rest = checkpointed(placed.join(across, "shingle").select("shingle", "cls", "at").join(marks, "cls"))
     x, y = rest.alias("x"), rest.alias("y")
-    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component")) & _sizes_agree(F.col("x.n"), F.col("y.n"), percent))
+    n, m = F.col("x.n"), F.col("y.n")
+    differ = sum((F.bit_count(F.col(f"x.f{i}").bitwiseXOR(F.col(f"y.f{i}"))) for i in range(4)), F.lit(0))
+    # at two similar sets' first common shingle, what is left of either still has room for their overlap
+    room = F.least(n - F.col("x.at"), m - F.col("y.at")) * (100 + percent) >= percent * (n + m)
+    fits = _sizes_agree(n, m, percent) & room & ((100 + percent) * (n + m - differ) >= 2 * percent * (n + m))
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component")) & fits)
     more = _verified(pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(), classes, documents, words, percent)
     joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
