@@ -52,7 +52,11 @@ def words(c: Column) -> Column:
 
 def shingles(w: Column, n: int = 5) -> Column:
     """Distinct runs of n words, each joined by spaces; none for fewer words."""
-    return F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " ")))).otherwise(F.array().cast("array<string>"))
+
+    def of(v: Column) -> Column:
+        return F.when(F.size(v) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(v) - (n - 1)), lambda i: F.array_join(F.slice(v, i, n), " ")))).otherwise(F.array().cast("array<string>"))
+
+    return F.element_at(F.transform(F.array(w), of), 1)  # binds the words to a variable, so that they are split once
 
 
 def content_words(c: Column) -> Column:
