@@ -73,9 +73,10 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, date: str = "2000
     revisit = F.concat(F.lit(f"WARC/1.1{_CRLF}WARC-Type: revisit{_CRLF}"), common, line("WARC-Profile", _PROFILE), line("WARC-Refers-To", record_id(F.col("first_id"))), line("X-Refers-To-Page", F.col("first_id").cast("string")), line("Content-Length", str(len(_HTTP))))
     header = F.concat(F.when(again, revisit).otherwise(response), F.lit(_CRLF + _HTTP))
     facts.select("page_id", header.alias("header"), "payload_key", (~again).alias("payload_follows")).write.parquet(f"{folder}/headers")
-    kept = rows.select("page_id", "payload_key", "payload").join(first.withColumnRenamed("payload_key", "k"), (F.col("payload_key") == F.col("k")) & F.col("page_id").eqNullSafe(F.col("first_id")))
-    # repeated rows of the least page_id leave one payload
-    kept.select("payload_key", "payload").dropDuplicates(["payload_key"]).write.parquet(f"{folder}/payloads")
+    nobody = F.lit(-(1 << 63))  # stands for a null page_id, so that keys are plain columns
+    kept = rows.select("payload_key", F.coalesce("page_id", nobody).alias("id"), "payload").join(first.select("payload_key", F.coalesce("first_id", nobody).alias("id")), ["payload_key", "id"])
+    # repeated rows of the least page_id leave one payload; they lie together after the join, so payloads move once
+    kept.dropDuplicates(["payload_key", "id"]).select("payload_key", "payload").write.parquet(f"{folder}/payloads")
     return Archive(folder)
 
 
