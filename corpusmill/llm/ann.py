@@ -5,8 +5,8 @@ recursive bisection: a median split along the principal direction, then swaps th
 edges. A small network learns to predict the parts in which a vector's neighbours lie. It
 files every vector under its most probable part, and sends queries to the most probable parts
 until their probabilities add up to a level at which held-out sample queries found enough.
-Parts are split into blocks of bounded rows, for candidates and for queries, and each pair of blocks is
-reranked by exact inner products in double precision.
+Small parts share a block and large ones are split into several, and each pair of a block and a bounded chunk of its
+queries is reranked by exact inner products in double precision.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import map_slices
 
-BLOCK_ROWS = 2048
+#: Candidates and queries that one task compares at once.
+BLOCK_ROWS, QUERY_ROWS = 16384, 2048
 _SLACK = 1e-9
 
 
@@ -155,24 +156,55 @@ _OUT = "query_id long, vec_id long, score double"
 
 
 def _rerank(candidates: pa.Table, queries: pa.Table, k: int) -> pa.Table:
-    """Each query's k best of one block, nearest first, ties to smaller vec_id; rows of equal vec_id count once."""
-    empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-    if not candidates.num_rows or not queries.num_rows:
-        return empty
-    ids, first = np.unique(candidates.column("vec_id").to_numpy(), return_index=True)
-    x = _matrix(candidates.column("vector"))[first]
-    query_ids, first = np.unique(queries.column("vec_id").to_numpy(), return_index=True)
-    q = _matrix(queries.column("vector"))[first]
-    s = q @ x.T
-    s[query_ids[:, None] == ids] = -np.inf
+    """Each query's k best of one block, nearest first, ties to smaller vec_id; rows of equal vec_id count once.
+
+    Only candidates of the parts that a query tries are compared with it.
+    """
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    if candidates.num_rows and queries.num_rows:
+        ids, first = np.unique(candidates.column("vec_id").to_numpy(), return_index=True)
+        x, part = _matrix(candidates.column("vector"))[first], candidates.column("part").to_numpy()[first]
+        query_ids, first = np.unique(queries.column("vec_id").to_numpy(), return_index=True)
+        q, tried = _matrix(queries.column("vector"))[first], queries.column("parts").take(pa.array(first)).to_pylist()
+        of: dict[int, list[int]] = {}
+        for i, parts in enumerate(tried):
+            for p in parts:
+                of.setdefault(p, []).append(i)
+        for p in np.unique(part):
+            rows = np.flatnonzero(part == p)
+            for start in range(0, len(of.get(p, ())), 256):
+                found += _nearest(ids[rows], x[rows], query_ids, q, np.array(of[p][start : start + 256]), k)
+    query, near, score = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((near, -score, query))
+    query, near, score = query[order], near[order], score[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    return pa.table({"query_id": pa.array(query[place < k]), "vec_id": pa.array(near[place < k]), "score": pa.array(score[place < k])})
+
+
+def _nearest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, asking: np.ndarray, k: int) -> list[tuple[np.ndarray, ...]]:
+    s = q[asking] @ x.T
+    s[query_ids[asking][:, None] == ids] = -np.inf
     out = []
-    for query, vector, row in zip(query_ids, q, s, strict=True):
+    for i, row in zip(asking, s, strict=True):
         edge = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
         near = np.flatnonzero((row >= edge - _SLACK * max(1.0, abs(edge))) & (row > -np.inf)) if edge > -np.inf else np.flatnonzero(row > -np.inf)
-        exact = (x[near] * vector).sum(1)  # in the same order for all rows, so that equal vectors have equal scores
+        exact = (x[near] * q[i]).sum(1)  # in the same order for all rows, so that equal vectors have equal scores
         best = np.lexsort((ids[near], -exact))[:k]
-        out.append((np.full(len(best), query), ids[near][best], exact[best]))
-    return pa.table({name: pa.array(np.concatenate([o[i] for o in out])) for i, name in enumerate(("query_id", "vec_id", "score"))})
+        out.append((np.full(len(best), query_ids[i]), ids[near][best], exact[best]))
+    return out
+
+
+def _blocks(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of each part: large parts have several, small ones share one."""
+    count = np.maximum(1, -(-sizes // BLOCK_ROWS))
+    first, block, room = np.zeros(len(sizes), np.int64), -1, 0
+    for p, n in enumerate(sizes):
+        if count[p] > 1 or n > room:
+            block, room = block + 1, BLOCK_ROWS
+        first[p] = block
+        block += count[p] - 1
+        room = 0 if count[p] > 1 else room - n
+    return first, count
 
 
 def search(embeddings: DataFrame, every: int = 20, k: int = 20, sample_rows: int = 6000, rows_per_part: int = 512, most_parts: int = 256, recall: float = 0.97) -> DataFrame:
@@ -208,6 +240,8 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, sample_rows: int
     for r in filed.groupBy("part").count().collect():
         sizes[r["part"]] = r["count"]
 
+    first, count = _blocks(sizes)
+
     def route():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             p = router.value.probabilities(_matrix(batch.column(1)))
@@ -215,21 +249,21 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, sample_rows: int
             p = np.take_along_axis(p, order, 1)
             held = sizes[order]
             tried = (np.cumsum(p, 1) - p < router.value.level) | (np.cumsum(held, 1) - held <= k)
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array([o[t] for o, t in zip(order.astype(np.int32), tried, strict=True)], pa.list_(pa.int32()))], ["vec_id", "vector", "parts"])
+            parts = [o[t] for o, t in zip(order.astype(np.int32), tried, strict=True)]
+            blocks = [np.unique(np.concatenate([np.arange(first[p], first[p] + count[p]) for p in ps])).astype(np.int32) for ps in parts]
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.list_(pa.int32())), pa.array(blocks, pa.list_(pa.int32()))], ["vec_id", "vector", "parts", "blocks"])
 
         return work
 
-    queries = map_slices(valid.where(F.col("vec_id") % every == 0), route, "vec_id long, vector array<double>, parts array<int>").select("vec_id", "vector", F.explode("parts").alias("part"))
-    asked = np.zeros(parts, np.int64)
-    for r in queries.groupBy("part").count().collect():
-        asked[r["part"]] = r["count"]
-    blocks, chunks = (F.array(*(F.lit(int(max(1, -(-c // BLOCK_ROWS)))) for c in counts)) for counts in (sizes, asked))
-    part = F.col("part")
-    own = lambda of: F.pmod(F.xxhash64("vec_id", F.lit("block")), F.get(of, part)).cast("int")
-    every_one = lambda of: F.explode(F.sequence(F.lit(0), F.get(of, part) - 1))
-    left = filed.select("vec_id", "vector", "part", own(blocks).alias("block"), every_one(chunks).alias("chunk"))
-    right = queries.select("vec_id", "vector", "part", own(chunks).alias("chunk"), every_one(blocks).alias("block"))
-    keys = ["part", "block", "chunk"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda c, q: _rerank(c, q, k), _OUT)
+    queries = map_slices(valid.where(F.col("vec_id") % every == 0), route, "vec_id long, vector array<double>, parts array<int>, blocks array<int>").select("vec_id", "vector", "parts", F.explode("blocks").alias("block"))
+    chunks = np.ones(int(first[-1] + count[-1]), np.int64)
+    for r in queries.groupBy("block").count().collect():
+        chunks[r["block"]] = max(1, -(-r["count"] // QUERY_ROWS))
+    firsts, counts, chunked = (F.array(*(F.lit(int(c)) for c in v)) for v in (first, count, chunks))
+    place = lambda of: F.pmod(F.xxhash64("vec_id", F.lit("block")), of).cast("int")
+    left = filed.withColumn("block", F.get(firsts, F.col("part")) + place(F.get(counts, F.col("part"))))
+    left = left.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.get(chunked, F.col("block")) - 1)))
+    right = queries.withColumn("chunk", place(F.get(chunked, F.col("block"))))
+    found = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(lambda c, q: _rerank(c, q, k), _OUT)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
