@@ -82,9 +82,15 @@ class Model:
         return score
 
 
-def _kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    a, b = a.astype(np.float32), b.astype(np.float32)
-    return ((a / np.sqrt(np.maximum(a.sum(1, keepdims=True), 1))) @ (b / np.sqrt(np.maximum(b.sum(1, keepdims=True), 1))).T).astype(np.float64)
+def _kernel(packed: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Kernel values of packed presence rows with landmarks, a block of rows at a time."""
+    def scaled(rows: np.ndarray) -> np.ndarray:
+        x = np.unpackbits(rows, axis=1).astype(np.float32)
+        x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+        return x
+
+    right = np.ascontiguousarray(scaled(marks).T)
+    return np.concatenate([scaled(packed[i : i + 64]) @ right for i in range(0, len(packed), 64)]).astype(np.float64)
 
 
 def fit(packed: np.ndarray, languages: list[str], spectrum: Spectrum, landmarks_each: int = 32, ridge: float = 1e-2) -> Model:
@@ -94,12 +100,10 @@ def fit(packed: np.ndarray, languages: list[str], spectrum: Spectrum, landmarks_
         return Model(spectrum, (), packed, np.zeros((0, 0)))
     label = np.array([names.index(x) for x in languages])
     marks = packed[np.concatenate([np.flatnonzero(label == k)[:landmarks_each] for k in range(len(names))])]
-    rows = np.unpackbits(packed, axis=1)
-    at = np.unpackbits(marks, axis=1)
-    values, vectors = np.linalg.eigh(_kernel(at, at))
+    values, vectors = np.linalg.eigh(_kernel(marks, marks))
     keep = values > 1e-6 * values.max(initial=0)
     root = vectors[:, keep] / np.sqrt(values[keep])
-    z = _kernel(rows, at) @ root
+    z = _kernel(packed, marks) @ root
     weight = (len(label) / (len(names) * np.bincount(label)))[label][:, None]  # each language counts alike
     target = np.where(label[:, None] == np.arange(len(names)), 1.0, -1.0)
     beta = np.linalg.solve(z.T @ (weight * z) + ridge * len(label) * np.eye(z.shape[1]) / 100, z.T @ (weight * target))
