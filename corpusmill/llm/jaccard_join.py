@@ -109,8 +109,8 @@ def common_shingles(documents: DataFrame, words: int, most: int, least: int = 32
         yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(counts[often])], ["shingle", "n"])
 
     found = documents.select("text").mapInArrow(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    rows = found.orderBy(F.desc("n"), "shingle").limit(most).collect()
-    return np.array([r["shingle"] for r in reversed(rows)], np.int64).view(np.uint64)
+    rows = found.orderBy(F.desc("n"), "shingle").limit(most).toArrow()
+    return np.ascontiguousarray(rows.column("shingle").to_numpy()[::-1]).view(np.uint64)
 
 
 def _sets(documents: DataFrame, words: int, percent: int, common: np.ndarray) -> DataFrame:
