@@ -101,7 +101,7 @@ def locator_parts(c: Column) -> Column:
     s = F.regexp_replace(stripped(F.coalesce(c, F.lit(""))), r"\.+$", "")
     head = F.regexp_extract(s, "^([0-9]+[A-Za-z]*)", 1)
     parts = F.concat(F.array(head), F.regexp_extract_all(s, F.lit(r"\(([^)]+)\)"), F.lit(1)))
-    return F.filter(F.transform(parts, F.trim), lambda p: p != "")
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
 
 
 def norm_locator(c: Column) -> Column:
