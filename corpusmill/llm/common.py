@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows that Python handles at once; long texts make larger slices costly.
 SLICE_ROWS = 512
+#: Rows that Spark puts into one Arrow batch, which both the JVM and Python hold.
+BATCH_ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,5 +47,9 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
                 out = work(batch.slice(start, SLICE_ROWS))
                 if out is not None and out.num_rows:
                     yield out
+        pa.default_memory_pool().release_unused()  # workers are used again by other operators
 
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(run, schema)

@@ -83,30 +83,33 @@ def _bitmap(found: np.ndarray) -> list[int]:
 def common_shingles(documents: DataFrame, words: int, most: int, least: int = 32) -> np.ndarray:
     """The ``most`` shingles of most documents, rarest first, as far as they lie in ``least`` or more.
 
-    Each task counts its own and passes on those that it met four times or more. This list steers the
+    Each task counts its own, half a million at a time, keeps those that came twice there, and passes on those that it met
+    four times or more. This list steers the
     order of shingles, so that its bound affects speed, never results.
     """
 
     def counted(batches):
         seen: list[np.ndarray] = []
-        held, total, again = 0, (np.zeros(0, np.uint64), np.zeros(0, np.int64)), 4
+        held, parts = 0, []
 
-        def merged():
-            keys, at = np.unique(np.concatenate([total[0], *seen]), return_inverse=True)
-            weights = np.concatenate([total[1], np.ones(len(at) - len(total[1]), np.int64)])
-            return keys, np.bincount(at, weights, len(keys)).astype(np.int64)
+        def settle() -> None:
+            keys, counts = np.unique(np.concatenate(seen), return_counts=True)
+            parts.append((keys[counts > 1], counts[counts > 1]))
 
         for batch in batches:
             for text in batch.column(0):
                 found, _ = shingle_set(text.as_py(), words)
                 seen.append(found)
                 held += len(found)
-                if held > 2_000_000:
-                    total, seen, held = merged(), [], 0
-                    total = tuple(x[total[1] > 1] for x in total) if len(total[0]) > 4_000_000 else total
-        keys, counts = merged() if seen else total
-        often = counts >= again
-        yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(counts[often])], ["shingle", "n"])
+                if held > 500_000:
+                    settle()
+                    seen, held = [], 0
+        if seen:
+            settle()
+        if parts:
+            keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[counts >= 4].view(np.int64)), pa.array(counts[counts >= 4])], ["shingle", "n"])
 
     found = documents.select("text").mapInArrow(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     rows = found.orderBy(F.desc("n"), "shingle").limit(most).toArrow()

@@ -17,7 +17,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 find_pretokens = regex.compile(PATTERN).findall
 _odd_space = re.compile(r" \s|\s\Z").search
 
-CACHE_CHUNKS, CACHE_CHARS = 500_000, 40
+CACHE_CHUNKS, CACHE_CHARS = 250_000, 40
 
 
 def chunks_of(text: str) -> list[str] | None:
