@@ -55,6 +55,21 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_langid, op2_ann, op3_jaccard_join, op4_fingerprints, op5_packing, op6_toxicity, op7_token_counts, op8_byte_bpe, op9_warc, op10_url_filters)}
 ORACLES: dict[str, str] = {
+    "op3_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+            FROM w),
+        n AS (SELECT doc_id, len(s) AS n FROM s),
+        t AS (SELECT doc_id, unnest(s) AS x FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM t a JOIN t b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 90 * (na.n + nb.n - c)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r(root, node) AS (SELECT doc_id, doc_id FROM n UNION SELECT root, e.b FROM r JOIN e ON e.a = r.node)
+        SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(node) AS component_id FROM r JOIN n ON n.doc_id = root GROUP BY n.doc_id, n.n
+    """,
     "op9_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS h FROM pages),
         d AS (
