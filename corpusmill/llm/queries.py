@@ -85,3 +85,34 @@ ORACLES: dict[str, str] = {
         FROM d
     """,
 }
+
+
+def _sql_of_url_filters(rounds: int = 8, damping: float = 0.85) -> str:
+    """SQL of op10: rules, seeds, and the rounds of propagation written out."""
+    lower = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    after = lambda x: f"(CASE WHEN instr({x}, '://') > 0 THEN substr({x}, instr({x}, '://') + 3) ELSE '' END)"
+    host = lambda x: lower(f"regexp_extract({after(x)}, '^([^/?#]*)', 1)")
+    rules = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+    case = lambda give: "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{give(v, h, p)}'" for v, h, p in rules) + " END"
+    ctes = [
+        "p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages)",
+        f"u AS (SELECT page_id, {host('url')} AS host, regexp_extract({after('url')}, '^[^/?#]*([^?#]*)', 1) AS path FROM p)",
+        f"j AS (SELECT *, {case(lambda v, h, p: h + p)} AS rule, {case(lambda v, h, p: v)} AS said FROM u)",
+        f"""k AS (SELECT {host('url')} AS source, unnest(regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref\\s*=\\s*["'']?((?:https?:)?//[^\\s"''<>]+)', 1)) AS link FROM p)""",
+        f"l AS (SELECT source, {host('link')} AS target FROM (SELECT source, CASE WHEN starts_with(link, '//') THEN 'x:' || link ELSE link END AS link FROM k))",
+        "e AS (SELECT source, target, count(*) AS n FROM l WHERE source <> '' AND target <> '' AND source <> target GROUP BY ALL)",
+        "v AS (SELECT host, count(*) AS pages, count(*) FILTER (said = 'allow') AS allow, count(*) FILTER (said = 'block') AS block FROM j WHERE host <> '' GROUP BY host)",
+        "tf AS (SELECT source, target, n / sum(n) OVER (PARTITION BY source) AS share FROM e)",
+        "df AS (SELECT target AS source, source AS target, n / sum(n) OVER (PARTITION BY target) AS share FROM e)",
+        "ts AS (SELECT host, allow::DOUBLE AS mass FROM v WHERE 2 * allow > pages)",
+        "ds AS (SELECT host, block::DOUBLE AS mass FROM v WHERE 2 * block > pages)",
+    ]
+    for c in "td":
+        for i in range(1, rounds + 1):
+            before = f"{c}{i - 1}" if i > 1 else f"{c}s"
+            ctes.append(f"{c}{i} AS (SELECT host, sum(mass) AS mass FROM (SELECT host, {1 - damping} * mass AS mass FROM {c}s UNION ALL SELECT target, {damping} * mass * share FROM {before} JOIN {c}f ON host = source) GROUP BY host)")
+    return f"""WITH {', '.join(ctes)} SELECT page_id, j.host, path, rule, coalesce(said, CASE WHEN coalesce(d.mass, 0) > coalesce(t.mass, 0) THEN 'block' ELSE 'allow' END) AS verdict
+        FROM j LEFT JOIN t{rounds} t ON t.host = j.host LEFT JOIN d{rounds} d ON d.host = j.host"""
+
+
+ORACLES["op10_url_filters"] = _sql_of_url_filters()
