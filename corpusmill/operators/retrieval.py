@@ -168,3 +168,20 @@ def reranked(ranked: DataFrame, by: list[str], ce: str = "ce_score", lam: float
     score = F.col(ce) if lam is None or lam >= 1 else lam * min_max(ce, by, head) + (1 - lam) * min_max("final_score", by, head)
     w = Window.partitionBy(*by).orderBy((~head).cast("int"), F.when(head, F.round(score, 9)).desc_nulls_last(), rank)
     return ranked.withColumn("post_rank", F.row_number().over(w))
+
+
+def scored_against_pool(pool: DataFrame, extra: DataFrame, by: list[str], alpha: float = C.ALPHA_DEFAULT, beta: float = C.BM25_WEIGHT) -> DataFrame:
+    """by, doc_id, final_score and rank_if_inserted of extra rows, scored with the pool's own statistics, which they don't change.
+
+    Both need bm25, dense, authority_weight and jurisdiction_weight. The authority scale covers pool and extra rows.
+    """
+    rows = pool.select(*by, "doc_id", "bm25", "dense", "authority_weight", "jurisdiction_weight").withColumn("core", F.lit(True))
+    rows = rows.unionByName(extra.select(*by, "doc_id", "bm25", "dense", "authority_weight", "jurisdiction_weight").withColumn("core", F.lit(False)))
+    scored = fused(rows, by, alpha, beta, core=F.col("core"))
+    better = F.count(F.when(F.col("core"), 1)).over(Window.partitionBy(*by).orderBy(F.desc("final_score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.count(F.when(F.col("core"), 1)).over(Window.partitionBy(*by, "final_score"))
+    return scored.withColumn("rank_if_inserted", better + 1).where(~F.col("core")).select(*by, "doc_id", "final_score", "rank_if_inserted")
+
+
+def category_boosted(ranked: DataFrame, predicted: Column, factor: float, ce: str = "ce_score") -> DataFrame:
+    """Multiplies the reranker's score where the document's authority class is among the query's predicted ones."""
+    return ranked.withColumn(ce, F.when(F.array_contains(predicted, F.col("authority_class")), F.col(ce) * factor).otherwise(F.col(ce)))

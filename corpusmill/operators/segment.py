@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +42,54 @@ def plan_is_valid(block_ids: Column, plan: Column) -> Column:
 def placeholders_conserved(source: Column, chunks: Column) -> Column:
     """Whether both arrays hold the same placeholders as often."""
     return F.array_sort(source) == F.array_sort(chunks)
+
+
+def cut_windows(text: str, marks: list[int], target: int, hard_max: int) -> list[str]:
+    """Cuts at provision marks where one lies within ``hard_max``: the last that makes a window of ``target`` or more, else the last at all.
+
+    Without a mark in reach the cut falls on the last blank line past half the target, or at the limit. Windows of white space are left out.
+    """
+    marks = sorted({*marks, len(text)})
+    out, start = [], 0
+    while start < len(text):
+        reach = [m for m in marks if start < m <= start + hard_max]
+        if reach:
+            full = [m for m in reach if m - start >= target]
+            end = (full or reach)[-1]
+        else:
+            blank = text.rfind("\n\n", start, start + hard_max)
+            end = blank if blank - start > target // 2 else min(start + hard_max, len(text))
+        if text[start:end].strip():
+            out.append(text[start:end])
+        start = end
+    return out
+
+
+#: Where provisions begin: numbered sections, regulations, schedules and parts at a line's start.
+PROVISION = r"(?m)^(?:\d+[A-Z]?\.?\s|(?:section|regulation|schedule|part)\s+\d+)"
+
+
+def windows(rows: DataFrame, target: int, pattern: str = PROVISION, factor: float = 1.6) -> DataFrame:
+    """doc_id, window (from 1) and text of every document's windows."""
+    found = re.compile(pattern, re.I)
+
+    def run(batches):
+        for b in batches:
+            cut = [(d, i, w) for d, t in zip(b["doc_id"], b["text"], strict=True) for i, w in enumerate(cut_windows(t or "", [m.start() for m in found.finditer(t or "")], target, int(target * factor)), 1)]
+            yield pd.DataFrame(cut, columns=["doc_id", "window", "text"])
+
+    return rows.select("doc_id", "text").mapInPandas(run, "doc_id long, window int, text string")
+
+
+def exclusive_text(text: Column, children: Column) -> Column:
+    """The text without the first occurrence of each child's text, in order; nothing if there are children and none was found."""
+    start = F.struct(text.alias("t"), F.lit(False).alias("any"))
+
+    def step(acc: Column, child: Column) -> Column:
+        at = F.instr(acc["t"], child)
+        hit = (F.length(child) > 0) & (at > 0)
+        rest = F.concat(F.substring(acc["t"], F.lit(1), at - 1), F.substring(acc["t"], at + F.length(child), F.length(acc["t"])))
+        return F.struct(F.when(hit, rest).otherwise(acc["t"]).alias("t"), (acc["any"] | hit).alias("any"))
+
+    done = F.aggregate(children, start, step)
+    return F.when((F.size(children) > 0) & ~done["any"], "").otherwise(done["t"])

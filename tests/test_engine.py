@@ -91,6 +91,24 @@ def test_segments(spark):
     assert [one(spark, segment.plan_is_valid(ids, p), t=1) for p in (plan(("x", "y"), ("z", "z")), plan(("x", "y"), ("y", "z")), plan(("x", "x"), ("z", "z")))] == [True, False, False]
 
 
+def test_windows(spark):
+    text = "1. " + "a" * 20 + "\n2. " + "b" * 20 + "\n3. " + "c" * 90
+    got = [r.text for r in segment.windows(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), 30).orderBy("window").collect()]
+    assert "".join(got) == text and max(map(len, got)) <= 48 and got[0].startswith("1.") and got[0].endswith("\n")
+    kids = lambda *k: F.array(*map(F.lit, k)).cast("array<string>")
+    assert [one(spark, segment.exclusive_text(F.col("t"), k), t="head one two one") for k in (kids("one", "two"), kids("x"), kids())] == ["head   one", "", "head one two one"]
+
+
+def test_score_against_pool(spark):
+    cols = "q int, doc_id long, bm25 double, dense double, authority_weight double, jurisdiction_weight double"
+    pool = spark.createDataFrame([(1, i, float(i), i / 10, 0.6, 1.0) for i in range(5)], cols)
+    extra = spark.createDataFrame([(1, 9, 3.5, 0.35, 0.6, 1.0)], cols)
+    r = retrieval.scored_against_pool(pool, extra, ["q"]).first()
+    assert (r.doc_id, r.rank_if_inserted) == (9, 2)
+    ranked = spark.createDataFrame([("A", 0.5), ("B", 0.5)], "authority_class string, ce_score double")
+    assert [x.ce_score for x in retrieval.category_boosted(ranked, F.array(F.lit("A")), 1.5).collect()] == [0.75, 0.5]
+
+
 def test_graph(spark):
     nodes = spark.createDataFrame([("D__section-1",), ("D__section-2-1",)], "node_id string")
     edges = spark.createDataFrame([("D__section-1", "D__section-2-1-4", "REFERENCES", 0.9), ("D__section-1", "D__section-1-3", "REFERENCES", 0.9), ("D__section-1", "E__section-9", "REFERENCES", 0.5)], "source_id string, target_id string, relation string, confidence double")
