@@ -15,7 +15,7 @@ from corpusmill import catalogue
 from corpusmill.functions import stemming
 from corpusmill.functions import text as T
 from corpusmill.operators import fuzzy, graph, metrics, quality, retrieval, segment
-from corpusmill.sources import files, html
+from corpusmill.sources import files, html, xml
 from corpusmill.streaming.resume import pending
 
 
@@ -136,6 +136,12 @@ def test_html(spark):
     assert [r.heading_path for r in html.headings(html.blocks(pages)).orderBy("ordinal").collect()] == [["A"], ["A", "B"], ["A", "C"]]
 
 
+def test_xml(spark):
+    akn = '<akn xmlns="x"><body><section eId="section-1"><num>1</num><heading>Scope</heading><subsection><num>(2)</num><p>text</p></subsection></section></body></akn>'
+    rows = xml.nodes(spark.createDataFrame([("D", akn), ("E", "<broken"), ("F", None)], "document_id string, xml string")).orderBy("ordinal").collect()
+    assert [(r.node_id, r.parent_node_id, r.node_type, r.number, r.heading, r.depth) for r in rows] == [("D__section-1", None, "section", "1", "Scope", 0), ("D__subsection-2", "D__section-1", "subsection", "(2)", None, 1)]
+
+
 def test_files(spark, tmp_path):
     assert files.read_jsonl(spark, f"{tmp_path}/none", "a long").count() == 0
     df = spark.createDataFrame([(1, "x"), (2, "y")], "a long, b string")
