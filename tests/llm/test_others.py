@@ -4,11 +4,12 @@ import base64
 import hashlib
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
 from corpusmill.llm import ann, url_filters, warc
-from corpusmill.llm.queries import URL_RULES
+from corpusmill.llm.queries import ORACLES, URL_RULES
 
 
 def brute_neighbours(ids, x, k):
@@ -93,7 +94,10 @@ def test_url_filters(spark):
     got = {r.page_id: r for r in url_filters.judge(spark.createDataFrame(rows, "page_id long, url string, html string, rule string"), URL_RULES).collect()}
     assert {i: (r.rule, r.verdict) for i, r in got.items()} == {1: ("com/", "allow"), 2: (None, "allow"), 3: ("net/es/", "block"), 4: (None, "block"), 5: (None, "allow"), 6: (None, "allow"), 7: ("example.com/en/", "block"), 8: ("www.example.com/en/", "allow"), 9: (None, "allow"), None: (None, "allow"), 10: (None, "allow"), 11: ("com/", "allow"), 12: ("net/es/", "block"), 13: (None, "allow")}
     assert (got[7].host, got[7].path) == ("x.example.com", "/en/a") and (got[None].host, got[None].path) == ("b:", "//c/d") and got[13].path == "" and got[2].trust > got[5].trust > 0
-    # two rounds of the same propagation, by hand
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages(page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", [r[:3] for r in rows if r[0] is not None])
+    assert {r[0]: r[1:] for r in con.execute(ORACLES["op10_url_filters"]).fetchall()} == {i: (r.host, r.path, r.rule, r.verdict) for i, r in got.items() if i is not None}
     assert abs(got[2].trust - 0.85 * got[1].trust) < 1e-12 and abs(got[4].distrust - 0.85 * got[3].distrust) < 1e-12
     assert url_filters.judge(spark.createDataFrame([], PAGE_SCHEMA), URL_RULES).count() == 0
 
