@@ -26,6 +26,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     (tests on one machine) a temporary folder takes its place.
     """
     spark = df.sparkSession
+    spark.sparkContext._jvm.System.gc()  # the cleaner deletes shuffles of finished steps only once the driver's garbage is collected
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corpusmill-"))
