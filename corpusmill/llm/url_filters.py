@@ -49,23 +49,29 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return ends.select("source", target.alias("target")).where("source <> '' AND target <> '' AND source <> target").groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
-def _propagated(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int) -> DataFrame:
+def _propagated(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float) -> DataFrame:
     """(host, mass): personalised PageRank along edges (source, target, n) from seeds (host, mass); mass at hosts without links onward is lost.
+
+    Rounds go on until no host's mass changes by more than ``tolerance`` of it; a newly reached host changes by all of it.
     """
     out = edges.groupBy("source").agg(F.sum("n").alias("all"))
     shares = checkpointed(edges.join(out, "source").select("source", "target", (F.col("n") / F.col("all")).alias("share")))
     mass = start = checkpointed(seeds)
-    for _ in range(rounds):
-        passed = mass.join(shares, mass["host"] == shares["source"]).select(F.col("target").alias("host"), (damping * F.col("mass") * F.col("share")).alias("mass"))
-        mass = checkpointed(start.select("host", ((1 - damping) * F.col("mass")).alias("mass")).union(passed).groupBy("host").agg(F.sum("mass").alias("mass")))
+    moving = True
+    while moving:
+        passed = mass.join(shares, mass["host"] == shares["source"]).select(F.col("target").alias("host"), (damping * F.col("mass") * F.col("share")).alias("mass"), F.lit(0.0).alias("before"))
+        kept = start.select("host", ((1 - damping) * F.col("mass")).alias("mass"), F.lit(0.0).alias("before")).union(mass.select("host", F.lit(0.0), "mass"))
+        now = checkpointed(kept.union(passed).groupBy("host").agg(F.sum("mass").alias("mass"), F.sum("before").alias("before")))
+        moving = now.where(F.abs(F.col("mass") - F.col("before")) > tolerance * F.col("mass")).limit(1).count() > 0
+        mass = now.select("host", "mass")
     return mass
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], damping: float = 0.85, rounds: int = 8, factor: float = 1.0) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], damping: float = 0.85, tolerance: float = 1e-6, factor: float = 1.0) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of each page.
 
     The rule's verdict holds; without one a page is blocked if its host's distrust exceeds ``factor`` times its
-    trust, else allowed. Seeds weigh by their pages that rules allow or block. Hosts that no mass reaches have trust and distrust 0 and are
+    trust, else allowed. Both run until no host's mass changes by more than ``tolerance`` of it in a round. Seeds weigh by their pages that rules allow or block. Hosts that no mass reaches have trust and distrust 0 and are
     allowed, as are empty hosts. Nulls in url or html count as empty; repeated rows give repeated results; an empty
     table gives none; other columns are left out.
     """
@@ -78,7 +84,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], damping: float =
     linked = edges.limit(1).count() > 0  # without links between hosts the mass stays at the seeds
     backwards = edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "n")
     if linked:
-        trust, distrust = _propagated(edges, trust, damping, rounds), _propagated(backwards, distrust, damping, rounds)
+        trust, distrust = _propagated(edges, trust, damping, tolerance), _propagated(backwards, distrust, damping, tolerance)
     scores = trust.select("host", F.col("mass").alias("trust"), F.lit(0.0).alias("distrust")).union(distrust.select("host", F.lit(0.0).alias("trust"), F.col("mass").alias("distrust")))
     scores = scores.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
     joined = urls.join(scores, "host", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})

@@ -102,6 +102,20 @@ def test_url_filters(spark):
     assert url_filters.judge(spark.createDataFrame([], PAGE_SCHEMA), URL_RULES).count() == 0
 
 
+def test_trust_and_distrust_converge(spark):
+    chain = [f"h{i}.org" for i in range(12)]  # each links to the one before, the first to a blocked host
+    links = {h: [("bad.net", *chain)[i]] for i, h in enumerate(chain)} | {"good.com": ["a.org"], "a.org": ["b.org", "bad.net"], "b.org": ["a.org", "good.com", "h3.org"], "bad.net": []}
+    pages = [(i, f"http://{h}/es/", "".join(f'<a href="http://{t}/">' for t in to)) for i, (h, to) in enumerate(links.items())]
+    got = {r.host: r for r in url_filters.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), URL_RULES).collect()}
+    hosts = list(links)
+    a = np.array([[float(t in links[h]) for t in hosts] for h in hosts])
+    for name, m, seed in (("trust", a, "good.com"), ("distrust", a.T, "bad.net")):
+        share = m / np.maximum(m.sum(axis=1, keepdims=True), 1)
+        want = np.linalg.solve(np.eye(len(hosts)) - 0.85 * share.T, 0.15 * np.array([float(h == seed) for h in hosts]))
+        assert [getattr(got[h], name) for h in hosts] == pytest.approx(list(want), rel=1e-4, abs=1e-12)
+    assert got["h11.org"].distrust > 0 and all(got[h].verdict == "block" for h in chain[4:])
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
