@@ -16,7 +16,7 @@ SOURCE_CLASSES = {
     "src8": "OFFICIAL_WORKFLOW", "src9": "OFFICIAL_TRAINING", "src10": "PROFESSIONAL_INTERPRETATION", "src11": "INDUSTRY_PRACTICE",
 }
 JURISDICTIONS = {"en": "UK", "es": "EU"}
-QUERY_TERMS = 8
+QUERY_TERMS = 8  # of the oracles only, which still cut an item to its first content words
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +36,9 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, term: the distinct ones of each benchmark item's first content words."""
+    """query_id, term: the distinct content words of each benchmark item."""
     kept = F.filter(T.words(F.col("text")), lambda w: (F.length(w) > 1) & ~w.isin(*sorted(C.QUERY_STOPWORDS)))
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(kept, 1, QUERY_TERMS)).alias("term")).distinct()
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(kept)).alias("term"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,6 +60,28 @@ def test_bm25_agrees_with_sqlite(spark):
     assert got == pytest.approx(want, rel=1e-6)
 
 
+def small_corpus(spark, folder, texts, items):
+    docs = [(i, t, "en", f"src{i % 4}", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_queries_use_every_content_word(spark, tmp_path):
+    words = "alpha bravo charlie delta echo foxtrot golf hotel india juliet".split()
+    texts = [" ".join(words[i % 10] for i in range(a, a + n)) for a, n in ((0, 3), (8, 1), (9, 2), (4, 5), (7, 4), (2, 9))]
+    sf = small_corpus(spark, tmp_path, texts, ["The alpha alpha alpha alpha alpha alpha alpha alpha of India", " ".join(words)])
+    avg, want = sum(len(t.split()) for t in texts) / len(texts), {}
+    for q, terms in enumerate((["alpha", "india"], words)):
+        for d, t in enumerate(texts):
+            w = t.split()
+            idf = {x: max(math.log((len(texts) - n + 0.5) / (n + 0.5)), 1e-6) for x in terms for n in [sum(x in u.split() for u in texts)]}
+            if set(w) & set(terms):
+                want[q, d] = sum(idf[x] * w.count(x) * 2.2 / (w.count(x) + 1.2 * (0.25 + 0.75 * len(w) / avg)) for x in terms)
+    got = {(r.query_id, r.doc_id): r.bm25 for r in catalogue.QUERIES["bm25_topk"](spark, sf).collect()}
+    assert got == pytest.approx(want, abs=1e-6) and (0, 1) in got
+
+
 def test_stems_agree_with_sqlite():
     words = "procurement applies bodies running hopping hoped falling relational conditional rational digitizer operator feudalism decisiveness hopefulness formality sensitivity triplicate formative formalize electrical goodness revival allowance inference airliner adjustable defensible irritant replacement adoption communism activate effective rate cease controll roll sky happy agreed plastered caresses ponies cats motoring sized".split()
     con = sqlite3.connect(":memory:")
