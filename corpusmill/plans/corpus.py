@@ -54,7 +54,7 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % n).alias("vec_id")).join(e.select("vec_id", F.col("embedding").alias("vector")), "vec_id").select("query_id", "vector")
 
 
-def candidates(spark: SparkSession, sf_dir: str, k: int = 30) -> DataFrame:
+def candidates(spark: SparkSession, sf_dir: str, k: int = C.CANDIDATES) -> DataFrame:
     """The hub: each query's k best of either channel and lane, with both raw scores, weights and text."""
     lexical = R.bm25(tokens(spark, sf_dir), query_terms(spark, sf_dir)).join(docs(spark, sf_dir).select("doc_id", "lane"), "doc_id")
     best = R.top(lexical, ["query_id", "lane"], "bm25", k).select("query_id", "doc_id")
@@ -66,10 +66,10 @@ def candidates(spark: SparkSession, sf_dir: str, k: int = 30) -> DataFrame:
     return pool.join(meta, "doc_id").withColumns({"authority_weight": T.authority_weight(F.col("authority_class")), "jurisdiction_weight": T.jurisdiction_weight(F.col("jurisdiction"))})
 
 
-def ranked(spark: SparkSession, sf_dir: str, alpha: float = C.ALPHA_FROZEN) -> DataFrame:
-    """candidates with final_score and pre-rerank rank in each query and lane."""
+def ranked(spark: SparkSession, sf_dir: str, alpha: float = C.ALPHA_FROZEN, k: int = C.CANDIDATES_FROZEN) -> DataFrame:
+    """candidates with final_score and pre-rerank rank in each query and lane; the depth is the frozen evaluation's."""
     by = ["query_id", "lane"]
-    return R.top(R.fused(candidates(spark, sf_dir), by, alpha), by, "final_score", 1 << 30)
+    return R.top(R.fused(candidates(spark, sf_dir, k), by, alpha), by, "final_score", 1 << 30)
 
 
 def gold(spark: SparkSession, sf_dir: str, least: float = 0.5) -> DataFrame:

@@ -103,7 +103,7 @@ def hybrid_authority_jurisdiction(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {K.SQL_RANKED} SELECT lane, {_COLS} FROM ranked WHERE rank <= 25")
 def two_lane_search(spark: SparkSession, sf: str) -> DataFrame:
     """Each lane retrieved and ranked by itself, 25 results a lane."""
-    return _shown(K.ranked(spark, sf).where("rank <= 25"), "lane")
+    return _shown(K.ranked(spark, sf, k=C.CANDIDATES).where("rank <= 25"), "lane")
 
 
 @query(f"""WITH {K.SQL_HUB}, {K.sql_fused('query_id', C.ALPHA_DEFAULT)}, b AS (SELECT *, min(CASE WHEN lane = 'legislation' THEN rank END) OVER (PARTITION BY query_id) AS best FROM ranked),
@@ -124,7 +124,7 @@ _GRID_SQL = ", ".join(f"({a}::DOUBLE, {b}::DOUBLE, {j})" for a, b, j in _GRID)
 def weight_sweep(spark: SparkSession, sf: str) -> DataFrame:
     """All parameter settings in one plan: normalised once, scored for every row of a small grid."""
     by = ["query_id", "lane"]
-    pool = K.candidates(spark, sf).withColumns({"bm25_norm": R.normalised("bm25", by), "dense_norm": R.normalised("dense", by), "authority_norm": R.normalised("authority_weight", by)})
+    pool = K.candidates(spark, sf, C.CANDIDATES_FROZEN).withColumns({"bm25_norm": R.normalised("bm25", by), "dense_norm": R.normalised("dense", by), "authority_norm": R.normalised("authority_weight", by)})
     grid = F.explode(F.array(*(F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta"), F.lit(j).alias("juris")) for a, b, j in _GRID)))
     swept = pool.withColumn("g", grid).select("*", "g.*").drop("g")
     score = ((F.col("beta") * F.col("bm25_norm") + (1 - F.col("beta")) * F.col("dense_norm")) * (1 - F.col("alpha")) + F.col("authority_norm") * F.col("alpha")) * F.when(F.col("juris"), F.col("jurisdiction_weight")).otherwise(1.0)

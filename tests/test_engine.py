@@ -8,6 +8,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +84,23 @@ def test_queries_use_every_content_word(spark, tmp_path):
     assert got == pytest.approx(want, abs=1e-6) and (0, 1) in got
 
 
+def test_candidates_reach_the_reference_depths(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(12)]
+    sf = small_corpus(spark, tmp_path, [" ".join(rng.choice(words, 9)) for _ in range(900)], [" ".join(words[:5]), "w7 w9"])
+    vectors = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(900, 6)))]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{sf}/embeddings.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet/*.parquet'")
+    for name, k in (("two_lane_search", 100), ("rank_movement", 300), ("weight_sweep", 300), ("hybrid_fusion", 100)):
+        want = con.execute(catalogue.ORACLES[name].replace("r <= 30", f"r <= {k}"))
+        df = catalogue.QUERIES[name](spark, sf)
+        want = {tuple(x[[d[0] for d in want.description].index(c)] for c in df.columns) for x in want.fetchall()}
+        got, flat = {tuple(r) for r in df.collect()}, lambda rows: [x for r in sorted(rows, key=repr) for x in r]
+        assert len(got) == len(want) and flat(got) == pytest.approx(flat(want), abs=2e-6), name
+
+
 def test_stems_agree_with_sqlite():
     words = "procurement applies bodies running hopping hoped falling relational conditional rational digitizer operator feudalism decisiveness hopefulness formality sensitivity triplicate formative formalize electrical goodness revival allowance inference airliner adjustable defensible irritant replacement adoption communism activate effective rate cease controll roll sky happy agreed plastered caresses ponies cats motoring sized".split()
     con = sqlite3.connect(":memory:")
