@@ -51,8 +51,9 @@ _HOP = """SELECT query_id, s, t, relation, max(confidence) AS confidence FROM {f
 
 
 def _seeds(spark: SparkSession, sf: str) -> DataFrame:
+    """Each seed order is a query of its own."""
     o = K.table(spark, sf, "orders").where("o_orderkey % 50 = 0")
-    return o.select((F.col("o_orderkey") % 1000).alias("query_id"), F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("node"))
+    return o.select(F.col("o_orderkey").alias("query_id"), F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("node"))
 
 
 _ONE = f"""{_EDGES_SQL}, seed AS (SELECT DISTINCT o_orderkey % 1000 AS query_id, 'O' || o_orderkey AS node FROM orders WHERE o_orderkey % 50 = 0), h1 AS ({_HOP.format(frontier='seed')}),

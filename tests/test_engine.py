@@ -159,6 +159,20 @@ def test_graph(spark):
     assert {(r.reference_type, r.status, r.target_node_id) for r in graph.resolved(refs, nodes).collect()} == {("SECTION", "EXACT_INTERNAL", "D__section-2-1"), ("REGULATION", "DOCUMENT_ONLY", None)}
 
 
+def test_each_order_expands_by_itself(spark, tmp_path):
+    rows = {"nation": ([(1, 0)], "n_nationkey long, n_regionkey long"), "customer": ([(c, 1) for c in range(60)], "c_custkey long, c_nationkey long")}
+    orders = [(1000 * i, i % 60, "FO"[i % 2]) for i in range(1, 91)]  # the same remainder of 1000
+    rows["orders"] = ([*orders, (7, 1, "F")], "o_orderkey long, o_custkey long, o_orderstatus string")
+    rows["lineitem"] = ([(k, 5 * k + i) for k, _, _ in orders for i in range(45 if k == 1000 else 2)], "l_orderkey long, l_partkey long")
+    for name, (data, schema) in rows.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = [(r.query_id, r.node) for r in catalogue.QUERIES["graph_expand_1hop"](spark, str(tmp_path)).collect()]
+    parts = lambda k: sorted(f"P{5 * k + i}" for i in range(45 if k == 1000 else 2))[:39]
+    assert sorted(got) == sorted((k, n) for k, c, _ in orders for n in (f"C{c}", *parts(k)))
+    two = catalogue.QUERIES["graph_expand_2hop"](spark, str(tmp_path)).where("hop = 2").collect()
+    assert sorted((r.query_id, r.node) for r in two) == [(k, "N1") for k, _, _ in orders]
+
+
 def test_metrics(spark):
     s = spark.createDataFrame([(0.9, True), (0.8, False), (0.7, True), (0.1, False), (None, False)], "v double, y boolean").withColumn("g", F.lit(1))
     assert metrics.auc(s, "v", "y", ["g"]).first().auc == pytest.approx(5 / 6)
