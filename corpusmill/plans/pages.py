@@ -7,6 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.functions import constants as C
 from corpusmill.functions import stemming
 from corpusmill.operators import fuzzy
 from corpusmill.operators import retrieval as R
@@ -27,7 +28,7 @@ def fuzzy_variants(spark: SparkSession, sf: str) -> DataFrame:
     """Query terms with two letters swapped, against the vocabulary."""
     t = F.col("term")
     swapped = F.concat(F.substring(t, 1, 2), F.substring(t, 4, 1), F.substring(t, 3, 1), F.expr("substring(term, 5)"))
-    return fuzzy.variants(K.query_terms(spark, sf).where(F.length("term") >= 6).select(swapped.alias("term")), R.vocabulary(K.tokens(spark, sf)))
+    return fuzzy.variants(K.query_terms(spark, sf).where(F.length("term") >= C.FUZZY_MIN_LENGTH).select(swapped.alias("term")), R.vocabulary(K.tokens(spark, sf)))
 
 
 @query

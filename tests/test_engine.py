@@ -118,6 +118,26 @@ def test_fuzzy(spark):
     assert stemming.indel_ratio("abcd", "abd") == pytest.approx(600 / 7)
 
 
+def test_fuzzy_finds_all_short_variants(spark):
+    rng = np.random.default_rng(7)
+    known = ["word", "girl", "calm", "this", "form"] + ["".join(rng.choice(list("abcde"), n)) for n in rng.integers(1, 10, 300)]
+    asked = ["wrod", "gril", "clam", "tihs", "from"] + ["".join(rng.choice(list("abcde"), n)) for n in rng.integers(4, 10, 60)]
+    words = lambda x: spark.createDataFrame([(w,) for w in sorted(set(x))], "term string")
+    for cutoff in (72, 60):
+        want = {}
+        for t in sorted(set(asked) - {"from"}):  # a stop word
+            if not any(k.startswith(t) for k in known):
+                near = [(-r, k) for k in sorted(set(known)) for r in [stemming.indel_ratio(t, k)] if r >= cutoff]
+                want |= {(t, k): -r for r, k in sorted(near)[:3]}
+        got = {(r.term, r.variant): r.ratio for r in fuzzy.variants(words(asked), words(known), cutoff).collect()}
+        assert got == pytest.approx(want) and ("wrod", "word") in got
+
+
+def test_swapped_four_letters_are_looked_up(spark, tmp_path):
+    sf = small_corpus(spark, tmp_path, ["girl word", "stone"], ["girl words"])
+    assert {(r.term, r.variant) for r in catalogue.QUERIES["fuzzy_variants"](spark, sf).collect()} == {("gilr", "girl")}
+
+
 def test_chunk_defects(spark):
     rows = [("s", 1, "the supplier"), ("s", 2, "must pay:"), ("s", 3, "(a) an item, or"), ("s", 4, None)]
     got = {r.chunk_ordinal: r.defects for r in quality.assessed(spark.createDataFrame(rows, "s string, chunk_ordinal int, text string"), ["s"], metadata=False).collect()}
