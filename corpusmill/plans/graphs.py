@@ -112,5 +112,18 @@ def chunks_from_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(r"""WITH r AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)\bpart\s+[0-9]+[A-Za-z]*')) AS m FROM pages) SELECT page_id, count(*) AS n FROM r GROUP BY page_id""")
 def reference_counts(spark: SparkSession, sf: str) -> DataFrame:
-    refs = G.references(K.table(spark, sf, "pages").select(F.col("page_id").alias("node_id"), F.col("html").alias("text"))).where("reference_type = 'PART'")
-    return refs.groupBy(F.col("source_node_id").alias("page_id")).agg(F.count("*").alias("n"))
+    """References of each page by type."""
+    return _references(spark, sf).groupBy(F.col("source_node_id").alias("page_id"), "reference_type").agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH r AS (SELECT page_id, regexp_extract_all(html, '(?i)\b(?:section|regulation|schedule|part)s?\s+[0-9]+[A-Za-z]*(?:\([0-9A-Za-z]+\))*') AS m FROM pages),
+    u AS (SELECT page_id AS source_node_id, CAST(unnest(range(len(m))) AS INTEGER) AS ordinal, unnest(m) AS t FROM r),
+    l AS (SELECT source_node_id, ordinal, upper(regexp_extract(t, '(?i)^(section|regulation|schedule|part)', 1)) AS reference_type, regexp_extract(t, '\s([0-9].*)$', 1) AS locator FROM u)
+    SELECT *, regexp_extract_all(locator, '[0-9A-Za-z]+') AS parts FROM l""")
+def page_references(spark: SparkSession, sf: str) -> DataFrame:
+    """Every reference to a section, regulation, schedule or part."""
+    return _references(spark, sf)
+
+
+def _references(spark: SparkSession, sf: str) -> DataFrame:
+    return G.references(K.table(spark, sf, "pages").select(F.col("page_id").alias("node_id"), F.col("html").alias("text")))
