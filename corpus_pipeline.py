@@ -13,14 +13,18 @@ from corpusmill.llm import jaccard_join, langid, packing, toxicity
 from corpusmill.llm.common import table
 from corpusmill.llm.warc import shared_folder
 
-#: Below this score a language counts as unknown; four equally likely languages score 0.25.
-LEAST_LANGUAGE_SCORE = 0.3
+
+
+def least_language_score(languages: int) -> float:
+    """Below this score a language counts as unknown: with odds of 9 to 7 against each of the others, 0.3 of four languages."""
+    return 9 / (9 + 7 * (max(languages, 1) - 1))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters (null and empty ones too) and those whose language is uncertain."""
-    found = langid.predict(docs, langid.learn(docs), keep_columns=True)
-    return found.where((found["lang_pred"] != langid.UNDETERMINED) & (found["score"] >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    model = langid.learn(docs)
+    found = langid.predict(docs, model, keep_columns=True)
+    return found.where((found["lang_pred"] != langid.UNDETERMINED) & (found["score"] >= least_language_score(len(model.languages)))).select(docs.columns)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

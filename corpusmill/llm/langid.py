@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import id_crc32, map_slices
@@ -110,20 +110,20 @@ def fit(packed: np.ndarray, languages: list[str], spectrum: Spectrum, landmarks_
     return Model(spectrum, names, marks, root @ beta)
 
 
-def learn(documents: DataFrame, each: int = 400, most_languages: int = 64, spectrum: Spectrum = Spectrum()) -> Model:
-    """Fits on a sample of about ``each`` labelled rows of each language (the ``most_languages`` commonest), never on held-out ones.
+def learn(documents: DataFrame, each: int = 400, always: int = 64, least_rows: int = 32, spectrum: Spectrum = Spectrum()) -> Model:
+    """Fits on a sample of about ``each`` labelled rows of each language, never on held-out ones: the ``always`` commonest and all of ``least_rows`` or more.
 
     The sample is drawn by a hash of doc_id. Only the sample's packed presence rows, of
     fixed size, come to the driver.
     """
     usable = documents.where(F.col("lang").isNotNull() & (id_crc32("doc_id") % 3 != 1)).select("doc_id", "text", "lang")
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    place = F.row_number().over(Window.orderBy(F.desc("count"), "lang"))  # over a row a label
+    counts = usable.groupBy("lang").count().withColumn("place", place).where((F.col("place") <= always) | (F.col("count") >= least_rows)).collect()
     if not counts:
         return fit(np.zeros((0, 0), np.uint8), [], spectrum)
     share = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (share < each / r["count"]))
+    parts = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], each / r["count"])))
+    chosen = share < F.try_element_at(parts, F.col("lang"))
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:

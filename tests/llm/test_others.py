@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from corpusmill.llm import ann, url_filters, warc
+from corpusmill.llm import ann, langid, url_filters, warc
 from corpusmill.llm.queries import ORACLES, URL_RULES
 
 
@@ -116,6 +116,21 @@ def test_trust_and_distrust_converge(spark):
     assert got["h11.org"].distrust > 0 and all(got[h].verdict == "block" for h in chain[4:])
 
 
+def test_many_languages_are_kept(spark):
+    import corpus_pipeline
+
+    assert [corpus_pipeline.least_language_score(n) for n in (0, 1, 4)] == [1, 1, 0.3]
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(40)]  # each language has two words, most shared with others
+    rows = [(i, " ".join(rng.choice(words[k % 40 :: 7][:2] + [f"{k}x"], 3)), f"l{k:02}", "s", 1) for i, k in enumerate(np.repeat(np.arange(66), 60).tolist())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = langid.learn(docs)
+    scores = [r.score for r in langid.predict(docs, model, keep_columns=True).where("lang_pred <> 'und'").collect()]
+    least = corpus_pipeline.least_language_score(66)
+    assert len(model.languages) == 66 and min(scores) < 0.3
+    assert corpus_pipeline.known_language(spark, docs, "").count() == sum(s >= least for s in scores) > sum(s >= 0.3 for s in scores)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
