@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,26 +13,98 @@ from pyspark.sql import functions as F
 
 #: Rows that Python handles at once; long texts make larger slices costly.
 SLICE_ROWS = 512
-#: Rows that Spark puts into one Arrow batch, which both the JVM and Python hold.
+#: Rows that Spark puts into one Arrow batch while a step is written, which both the JVM and Python hold.
 BATCH_ROWS = 1024
+#: A key is hot if it has more than this share of a table's rows, so that fewer keys than 1 / share are; a hot key is dealt out over so many tasks.
+HOT_SHARE, SALTS = 1 / 1024, 256
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, cut from its lineage by a table in the shared folder, which is deleted as the driver's Python ends."""
+    return Workspace(df.sparkSession, "step").keep("rows", df)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, cut from its lineage by files that all executors share.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _delete_quietly(spark: SparkSession, path: str) -> None:
+    try:
+        delete_folder(spark, path)
+    except Exception:  # noqa: BLE001 - the session or its JVM may be gone by now
+        pass
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's name below ``shared_root``; what lies there is deleted as the driver's Python ends."""
+    folder = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete_quietly, spark, folder)
+    return folder
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Settings of the session, with ``__`` for dots, that hold inside the block and are as before after it."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+class Workspace:
+    """Tables in the shared folder that cut the lineage of a job's steps, each deleted once its last reader is done."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, shared_folder(spark, name)
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """df, written and read again; the shuffles that made it are deleted."""
+        batches = min(BATCH_ROWS, int(self.spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")))
+        with settings(self.spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__execution__arrow__maxRecordsPerBatch=str(batches)):
+            df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            delete_folder(self.spark, f"{self.folder}/{name}")
+
+
+def hot_keys(counted: DataFrame, key: str, rows: str) -> list:
+    """The keys of a written table (key, rows a key) with over HOT_SHARE of all rows: fewer than 1 / HOT_SHARE."""
+    total = counted.agg(F.sum(rows)).first()[0] or 0
+    return [r[0] for r in counted.where(F.col(rows) > max(64.0, total * HOT_SHARE)).select(key).collect()]
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, hot: list, by: str | Column, on: tuple[str, ...] = (), how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one`` on key (and the columns ``on``), the rows of hot keys dealt out by a hash of ``by``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder takes its place.
+    ``one`` has few rows a key; those of hot keys are repeated for each salt. Columns stay as in a plain join.
     """
-    spark = df.sparkSession
-    spark.sparkContext._jvm.System.gc()  # the cleaner deletes shuffles of finished steps only once the driver's garbage is collected
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corpusmill-"))
-    return df.checkpoint(eager=True)
+    on = (key, *on)
+    if not hot:
+        return many.join(one, list(on), how)
+    is_hot = F.col(key).isin(hot)
+    many = many.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0))
+    one = one.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return many.join(one, [*on, "_salt"], how).drop("_salt")
 
 
 def id_crc32(column: str | Column) -> Column:
@@ -50,7 +124,4 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
                     yield out
         pa.default_memory_pool().release_unused()  # workers are used again by other operators
 
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(run, schema)

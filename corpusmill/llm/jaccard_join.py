@@ -6,25 +6,25 @@ among their first few (the prefix), whatever the order is. The order puts shingl
 lie in very many documents last, and else long shingles first, as these are rarer; it only
 affects speed. Documents of equal text form a class, classes of equal size and prefix a group.
 
-First round: within each posting list of a prefix shingle, and each band of sizes,
+Shingles that occur in exactly the same groups share one posting list.
+
+First round: within each posting list, and each band of sizes,
 groups are compared with one pivot only, and members of a group with its first member.
-Second round: what still lies in different components though it shares a prefix shingle is
-expanded to classes, and all these pairs are compared. Pairs pass filters on sizes, on the shingle's
-places and on parity bitmaps, which bound the overlap from above, before texts are read and
+Second round: pairs of groups that share a list but lie in different components pass filters on sizes, on the list's
+places and on parity bitmaps, which bound the overlap from above; each pair found then is
+expanded to the members that lie apart, whose larger bitmaps are compared before texts are read and
 similarities are verified. So no link between components is lost, and a large group of
 near copies costs as many comparisons as it has members.
 """
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import checkpointed, map_slices
+from corpusmill.llm.common import Workspace, hot_keys, map_slices, salted_join
 from corpusmill.llm.components import components
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -33,6 +33,7 @@ _POWERS = np.multiply.accumulate(np.full(4096, _BASE))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 BITMAP_BITS = 1024
+_NOBODY = -(1 << 63)  # stands for a null doc_id, so that keys are plain columns
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -75,9 +76,15 @@ def prefix_size(n: int | np.ndarray, percent: int):
     return n - (n * percent + 99) // 100 + 1
 
 
-def _bitmap(found: np.ndarray) -> list[int]:
-    parity = np.bincount((found >> np.uint64(54)).astype(np.int64), minlength=BITMAP_BITS) & 1
-    return np.packbits(parity.astype(np.uint8)).view(np.int64).tolist()
+def bitmap_bits(n: int | np.ndarray):
+    """Bits of a set's parity bitmap: a power of two, at least BITMAP_BITS, and n or more, so that large sets' bitmaps tell as much."""
+    return np.maximum(BITMAP_BITS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+
+
+def _bitmap(found: np.ndarray) -> np.ndarray:
+    size = int(bitmap_bits(len(found)))
+    parity = np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
 def common_shingles(documents: DataFrame, words: int, most: int, least: int = 32) -> np.ndarray:
@@ -117,7 +124,7 @@ def common_shingles(documents: DataFrame, words: int, most: int, least: int = 32
 
 
 def _sets(documents: DataFrame, words: int, percent: int, common: np.ndarray) -> DataFrame:
-    """rid, doc_id, key, n, group_key, prefix, bits of each row."""
+    """rid, doc_id, key, n, prefix, bits of each row."""
     order = np.argsort(common)
     shared = documents.sparkSession.sparkContext.broadcast((common[order], order))
 
@@ -125,7 +132,7 @@ def _sets(documents: DataFrame, words: int, percent: int, common: np.ndarray) ->
         keys, rank = shared.value
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, groups, prefixes, bits = [], [], [], []
+            n, prefixes, bits = [], [], []
             for text in batch.column(2).to_pylist():
                 found, length = shingle_set(text, words)
                 weight = np.zeros(len(found), np.int64)
@@ -141,8 +148,7 @@ def _sets(documents: DataFrame, words: int, percent: int, common: np.ndarray) ->
         return work
 
     rows = map_slices(_keyed(documents), make, "doc_id long, key binary, n long, prefix array<long>, bits array<long>")
-    group = F.unhex(F.md5(F.concat_ws(",", F.col("n").cast("string"), F.col("prefix").cast("array<string>"))))
-    return rows.withColumn("rid", F.monotonically_increasing_id()).withColumn("group_key", group)
+    return rows.withColumn("rid", F.monotonically_increasing_id())
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -153,9 +159,19 @@ def _sizes_agree(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def _bitmaps_agree(x: Column, y: Column, n: Column, m: Column, percent: int) -> Column:
+def _differing_bits(x: Column, y: Column) -> Column:
+    """Bits in which two parity bitmaps differ; the longer one, of twice the other's length at most, is folded to the shorter."""
+
+    def folded(v: Column, to: Column) -> Column:
+        half = F.size(v) / 2
+        return F.when(F.size(v) > to, F.zip_with(F.slice(v, 1, half.cast("int")), F.slice(v, (half + 1).cast("int"), half.cast("int")), lambda p, q: p.bitwiseXOR(q))).otherwise(v)
+
+    to = F.least(F.size(x), F.size(y))
+    return F.aggregate(F.zip_with(folded(x, to), folded(y, to), lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("int")), F.lit(0), lambda s, v: s + v)
+
+
+def _overlap_fits(n: Column, m: Column, differ: Column, percent: int) -> Column:
     """The overlap is at most (n + m - differing bits) / 2; it has to reach percent / (100 + percent) of n + m."""
-    differ = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("int")), F.lit(0), lambda s, v: s + v)
     return (100 + percent) * (n + m - differ) >= 2 * percent * (n + m)
 
 
@@ -163,7 +179,7 @@ _FILTER_BITS, _FILTER_PART = 1 << 25, 32768
 
 
 def _maybe_in(documents: DataFrame, keys: DataFrame) -> DataFrame:
-    """doc_id, key, text of the rows whose key may be in ``keys``, by a bit set of fixed 4 MB.
+    """doc_id, key, text of the rows whose key may be in ``keys``, by a bit set of fixed 4 MB; of repeated rows a task passes on few.
 
     It spares the join most texts; the more keys, the more rows pass it for nothing.
     """
@@ -176,25 +192,40 @@ def _maybe_in(documents: DataFrame, keys: DataFrame) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(held)
 
     def make():
+        seen: set[tuple] = set()
+
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             p = batch.column(3).to_numpy()
-            return batch.select([0, 1, 2]).filter(pa.array((shared.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1))
+            there = np.flatnonzero((shared.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1)
+            if len(seen) > 50_000:
+                seen.clear()
+            new = []
+            for row in there:
+                mark = (batch.column(0)[row].as_py(), batch.column(1)[row].as_py())
+                if mark not in seen:
+                    seen.add(mark)
+                    new.append(row)
+            return batch.select([0, 1, 2]).take(pa.array(new, pa.int64()))
 
         return work
 
     return map_slices(_keyed(documents).withColumn("place", place), make, "doc_id long, key binary, text string")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that pass the filters and whose similarity reaches the threshold."""
-    one = partial(classes.select, "n", "bits", "key", "doc_id")
-    x, y = (one(F.col("cls").alias(s)).select(s, *(F.col(c).alias(f"{c}_{s}") for c in ("n", "bits", "key", "doc_id"))) for s in "ab")
-    sized = pairs.join(x, "a").join(y, "b").where(_sizes_agree(F.col("n_a"), F.col("n_b"), percent) & _bitmaps_agree(F.col("bits_a"), F.col("bits_b"), F.col("n_a"), F.col("n_b"), percent))
-    sized = checkpointed(sized.select("a", "b", "key_a", "doc_id_a", "key_b", "doc_id_b"))
-    texts = _maybe_in(documents, sized.select(F.col("key_a").alias("key")).union(sized.select(F.col("key_b").alias("key"))))
-    for s in "ab":
-        t = texts.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), F.col("text").alias(f"text_{s}"))
-        sized = sized.join(t, (F.col("k") == F.col(f"key_{s}")) & F.col("d").eqNullSafe(F.col(f"doc_id_{s}"))).drop("d", "k")
+def _verified(work: Workspace, name: str, pairs: DataFrame, classes: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that pass the filters and whose similarity reaches the threshold, written as table ``name``."""
+    x, y = (classes.select(F.col("cls").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "bits", "key", "doc_id"))) for s in "ab")
+    fits = _sizes_agree(F.col("n_a"), F.col("n_b"), percent) & _overlap_fits(F.col("n_a"), F.col("n_b"), _differing_bits(F.col("bits_a"), F.col("bits_b")), percent)
+    # pairs are about as many as classes at most; a class that is the pivot of a large list is dealt out
+    hubs = work.keep(f"{name}_hubs", pairs.groupBy("b").agg(F.count("*").alias("rows")))
+    hot = hot_keys(hubs, "b", "rows")
+    sized = salted_join(pairs, y, "b", hot, by="a").join(x, "a").where(fits)
+    sized = work.keep(f"{name}_sized", sized.select("a", "b", "key_a", "doc_id_a", "key_b", "doc_id_b"))
+    texts = work.keep(f"{name}_texts", _maybe_in(documents, sized.select(F.col("key_a").alias("key")).union(sized.select(F.col("key_b").alias("key")))))
+    for s, other in (("b", "a"), ("a", "b")):
+        one = sized.select(s, F.col(f"key_{s}").alias("key"), F.coalesce(f"doc_id_{s}", F.lit(_NOBODY)).alias("at")).distinct()
+        own = texts.withColumn("at", F.coalesce("doc_id", F.lit(_NOBODY))).join(one, ["key", "at"]).dropDuplicates([s]).select(s, F.col("text").alias(f"text_{s}"))
+        sized = salted_join(sized, own, s, hot, by=other) if s == "b" else sized.join(own, s)
 
     def make():
         known: dict[str, np.ndarray] = {}
@@ -216,7 +247,28 @@ def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, words:
 
         return work
 
-    return map_slices(sized.select("a", "b", "text_a", "text_b"), make, "a long, b long").distinct()
+    found = work.keep(name, map_slices(sized.select("a", "b", "text_a", "text_b"), make, "a long, b long"))
+    work.drop(f"{name}_hubs", f"{name}_sized", f"{name}_texts")
+    return found
+
+
+def _lists(work: Workspace, heads: DataFrame) -> tuple[DataFrame, list]:
+    """list, gid, n, at of the posting lists of prefix shingles with two groups or more, and the hot lists.
+
+    Shingles that occur in exactly the same groups, as those of a passage do, have one list; ``at`` is the least place of any of them.
+    """
+    postings = heads.select("gid", "n", F.posexplode("prefix").alias("at", "shingle"))
+    shared = work.keep("shared", postings.groupBy("shingle").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("shingle", "rows"))
+    hot = hot_keys(shared, "shingle", "rows")
+    listed = work.keep("listed", salted_join(postings, shared.select("shingle"), "shingle", hot, by="gid"))
+    same = listed.groupBy("shingle").agg(F.count("*").alias("rows"), F.sum(F.xxhash64("gid").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("gid", F.lit(1))).alias("x"))
+    kinds = work.keep("kinds", same)
+    first = kinds.groupBy("rows", "s", "x").agg(F.min("shingle").alias("list"))
+    named = work.keep("named", kinds.join(first, ["rows", "s", "x"]).select("shingle", "list", "rows"))
+    lists = work.keep("lists", salted_join(listed, named.select("shingle", "list"), "shingle", hot, by="gid").groupBy("list", "gid").agg(F.first("n").alias("n"), F.min("at").alias("at")))
+    hot = hot_keys(named.where("shingle = list"), "list", "rows")
+    work.drop("shared", "listed", "kinds", "named")
+    return lists, hot
 
 
 def linked(documents: DataFrame, words: int = 5, percent: int = 80, most_common: int = 1 << 18) -> DataFrame:
@@ -226,60 +278,95 @@ def linked(documents: DataFrame, words: int = 5, percent: int = 80, most_common:
     between sets of ``words``-word shingles; keeper marks the rows of component_id whose text stands for
     its component. Texts without words (null, empty, white space) have n_shingles 0, are linked with nothing and
     are keepers. A null doc_id takes part, but isn't the least unless no other is there. Repeated rows and equal
-    texts are linked. Columns other than doc_id and text aren't read; an empty table gives none.
+    texts are linked. Very long texts are taken whole, one text's set at a time. Columns other than doc_id and text aren't read; an empty table gives none.
     """
     documents = documents.select("doc_id", "text")
-    rows = checkpointed(_sets(documents, words, percent, common_shingles(documents, words, most_common)))
-    by_text = rows.where("n > 0").groupBy("key").agg(F.min("rid").alias("cls"), F.min("doc_id").alias("first_id"))
-    reps = rows.join(by_text, "key").where("rid = cls").drop("rid", "doc_id").withColumnRenamed("first_id", "doc_id")
-    groups = reps.groupBy("group_key").agg(F.min("cls").alias("gid"))
-    classes = checkpointed(reps.join(groups, "group_key").drop("group_key"))
+    work = Workspace(documents.sparkSession, "jaccard")
+    sets = work.keep("sets", _sets(documents, words, percent, common_shingles(documents, words, most_common)))
+    group = F.unhex(F.md5(F.concat_ws(",", F.col("n").cast("string"), F.col("prefix").cast("array<string>"))))
+    texts = work.keep("texts", sets.where("n > 0").groupBy("key").agg(F.min("rid").alias("cls"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min(group).alias("group_key")))
+    groups = work.keep("groups", texts.groupBy("group_key").agg(F.min("cls").alias("gid"), F.count("*").alias("members")))
+    named = salted_join(texts, groups, "group_key", hot_keys(groups, "group_key", "members"), by="cls")
+    names = work.keep("names", named.select("cls", "key", "doc_id", "copies", "gid", "members"))
+    classes = work.keep("classes", sets.select(F.col("rid").alias("cls"), "n", "bits").join(names, "cls"))
+    heads = work.keep("heads", sets.select(F.col("rid").alias("gid"), "n", "prefix").join(groups.select("gid"), "gid"))
+    rows = work.keep("rows", sets.select("rid", "doc_id", "key", "n"))
+    work.drop("sets", "texts")
+    lists, hot = _lists(work, heads)
+    work.drop("heads", "groups")
 
     band = F.floor(F.log(F.col("n")) / float(np.log(100 / percent)))
-    postings = classes.where("cls = gid").select("gid", "n", band.alias("band"), F.posexplode("prefix").alias("at", "shingle"))
+    banded = lists.withColumn("band", band)
     # a list's pivot is a member that has the shingle early, so has few of its own before it, and is like most others
-    pivots = postings.groupBy("shingle", "band").agg(F.min_by("gid", "at").alias("pivot"), F.min("at").alias("pivot_at"), F.count("*").alias("members")).where("members > 1").drop("members")
+    pivots = banded.groupBy("list", "band").agg(F.min_by("gid", "at").alias("pivot"), F.min("at").alias("pivot_at"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     near = (F.col("n") - F.greatest("at", "pivot_at")) * (100 + percent) >= 2 * percent * F.col("n")
-    met = postings.join(pivots, ["shingle", "band"]).where((F.col("gid") != F.col("pivot")) & near).groupBy("gid", "pivot").agg(F.count("*").alias("shared"), F.min("pivot_at").alias("pivot_at"))
+    met = salted_join(banded, pivots, "list", hot, by="gid", on=("band",)).where((F.col("gid") != F.col("pivot")) & near).groupBy("gid", "pivot").agg(F.count("*").alias("shared"), F.min("pivot_at").alias("pivot_at"))
     # of the pivots that a group meets, two; what they don't link is left to the second round
     chosen = met.groupBy("gid").agg(F.array_distinct(F.array(F.min_by("pivot", "pivot_at"), F.max_by("pivot", "shared"))).alias("pivots"))
     stars = chosen.select(F.col("gid").alias("a"), F.explode("pivots").alias("b"))
     within = classes.where("cls <> gid").select(F.col("cls").alias("a"), F.col("gid").alias("b"))
-    links = checkpointed(_verified(stars.union(within), classes, documents, words, percent))
-    joined = checkpointed(components(links))
-
-    names = classes.join(joined, classes["cls"] == joined["node"], "left").select("cls", "n", "prefix", "bits", F.coalesce("component", "cls").alias("component"))
-    placed = names.select("cls", "component", F.posexplode("prefix").alias("at", "shingle"))
-    across = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
-    folded = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.aggregate(F.sequence(F.lit(1), F.lit(BITMAP_BITS // 64 // 4 - 1)), F.get("bits", i), lambda x, j: x.bitwiseXOR(F.get("bits", i + 4 * j))))
-    marks = names.select("cls", "n", "component", folded.alias("f")).select("cls", "n", "component", *(F.get("f", i).alias(f"f{i}") for i in range(4)))
-    rest = checkpointed(placed.join(across, "shingle").select("shingle", "cls", "at").join(marks, "cls"))
+    links = _verified(work, "links", stars.union(within), classes, documents, words, percent)
+    joined = work.keep("joined", components(links))
+
+    pairs = work.keep("pairs", _group_pairs(work, classes, joined, lists, hot, percent))
+    both = [classes.select(F.col("gid").alias(f"gid_{s}"), F.col("cls").alias(s)).join(joined.select(F.col("node").alias(s), F.col("component").alias(f"component_{s}")), s, "left") for s in "ab"]
+    members = pairs.join(both[0], "gid_a").join(both[1], "gid_b").where((F.coalesce("component_a", "a") != F.coalesce("component_b", "b")) & ((F.col("gid_a") != F.col("gid_b")) | (F.col("a") < F.col("b"))))
+    more = _verified(work, "more", members.select("a", "b"), classes, documents, words, percent)
+    joined = work.keep("components", components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
+    work.drop("pairs", "lists", "links", "joined", "more")
+
+    whole = work.keep("whole", names.join(joined, names["cls"] == joined["node"], "left").select("cls", "key", "doc_id", "copies", F.coalesce("component", "cls").alias("component")))
+    least = work.keep("least", whole.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "cls")).alias("keeper_key"), F.count("*").alias("rows")))
+    final = salted_join(whole, least.drop("rows"), "component", hot_keys(least, "component", "rows"), by="cls").select("key", "component_id", (F.col("key") == F.col("keeper_key")).alias("kept_text"))
+    empty = F.col("n") == 0
+    found = salted_join(rows, final, "key", hot_keys(whole, "key", "copies"), by="rid", how="left").select(
+        "doc_id", "key", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (empty | (F.col("kept_text") & F.col("doc_id").eqNullSafe(F.col("component_id")))).alias("keeper"),
+    )
+    found = work.keep("found", found)
+    work.drop("classes", "names", "rows", "components", "whole", "least")
+    return found
+
+
+def _group_pairs(work: Workspace, classes: DataFrame, joined: DataFrame, lists: DataFrame, hot: list, percent: int) -> DataFrame:
+    """Pairs (gid_a, gid_b) of groups in different components that share a list and may be similar; a group whose own members lie apart makes a pair with itself."""
+    folds = BITMAP_BITS // 64
+    # a bitmap folded to 512 bits, whatever its size
+    folded = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.aggregate(F.sequence(i, F.size("bits") - 1, F.lit(8)), F.lit(0).cast("bigint"), lambda x, j: x.bitwiseXOR(F.get("bits", j))))
+    assert folds >= 8
+    own = classes.join(joined, classes["cls"] == joined["node"], "left").select("gid", F.coalesce("component", "cls").alias("component"), F.when(F.col("members") == 1, folded).alias("f"))
+    # only a group of one member has marks to compare; with more, all of them have to
+    marks = work.keep("marks", own.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("f").alias("f")))
+    placed = work.keep("placed", lists.join(marks, "gid"))
+    across = work.keep("across", placed.groupBy("list").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l < h").select("list"))
+    rest = work.keep("rest", salted_join(placed, across, "list", hot, by="gid"))
+    work.drop("placed", "across")
     x, y = rest.alias("x"), rest.alias("y")
     n, m = F.col("x.n"), F.col("y.n")
-    differ = sum((F.bit_count(F.col(f"x.f{i}").bitwiseXOR(F.col(f"y.f{i}"))) for i in range(4)), F.lit(0))
+    differ = F.when(F.col("x.f").isNull() | F.col("y.f").isNull(), 0).otherwise(_differing_bits(F.col("x.f"), F.col("y.f")))
     # at two similar sets' first common shingle, what is left of either still has room for their overlap
     room = F.least(n - F.col("x.at"), m - F.col("y.at")) * (100 + percent) >= percent * (n + m)
-    fits = _sizes_agree(n, m, percent) & room & ((100 + percent) * (n + m - differ) >= 2 * percent * (n + m))
-    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component")) & fits)
-    more = _verified(pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(), classes, documents, words, percent)
-    joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-
-    named = classes.join(joined, classes["cls"] == joined["node"], "left").select("cls", "key", "doc_id", F.coalesce("component", "cls").alias("component"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "cls")).alias("keeper_key"))
-    final = named.join(least, "component").select("key", "component_id", (F.col("key") == F.col("keeper_key")).alias("kept_text"))
-    empty = F.col("n") == 0
-    return rows.select("rid", "doc_id", "key", "n").join(final, "key", "left").select(
-        "doc_id", "key", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (empty | (F.col("kept_text") & F.col("doc_id").eqNullSafe(F.col("component_id")))).alias("keeper"),
-    )
+    apart = ~((F.col("x.lo") == F.col("x.hi")) & (F.col("y.lo") == F.col("y.hi")) & (F.col("x.lo") == F.col("y.lo")))
+    fits = _sizes_agree(n, m, percent) & room & apart & _overlap_fits(n, m, differ, percent)
+    pairs = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.gid") < F.col("y.gid")) & fits).select(F.col("x.gid").alias("gid_a"), F.col("y.gid").alias("gid_b")).distinct()
+    return pairs.union(marks.where("lo < hi").select(F.col("gid").alias("gid_a"), F.col("gid").alias("gid_b")))
 
 
 def without_near_copies(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of documents, all columns, that stand for their component: one of each, that of the least doc_id.
 
-    Texts without words stay. Rows of equal doc_id and text leave one; of nulls likewise.
+    Texts without words stay. Rows of equal doc_id and text leave one; of nulls likewise. Columns of any name pass through.
     """
     columns = documents.columns
-    keepers = linked(documents, words, percent).where("keeper").select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"))
-    keyed = documents.select("*", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("_text_key"))
-    kept = keyed.join(keepers, (keyed["_text_key"] == keepers["_key"]) & keyed["doc_id"].eqNullSafe(keepers["_id"]), "left_semi")
-    return kept.dropDuplicates(["_text_key", "doc_id"]).select(columns)
+    work = Workspace(documents.sparkSession, "kept")
+
+    def mark(text_key: Column) -> Column:
+        return F.unhex(F.md5(F.concat(F.hex(text_key), F.lit(" "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+
+    keepers = work.keep("keepers", linked(documents, words, percent).where("keeper").groupBy(mark(F.col("key")).alias("mark")).agg(F.count("*").alias("rows")))
+    held = documents.select(F.struct("*").alias("row"), mark(F.unhex(F.md5(F.coalesce("text", F.lit(""))))).alias("mark"))
+    again = keepers.where("rows > 1")  # repeated rows: combined before they are shuffled
+    once = held.join(keepers.where("rows = 1").select("mark"), "mark", "left_semi").select("row.*")
+    if not again.limit(1).count():
+        return once.select(columns)
+    repeated = salted_join(held, again.select("mark"), "mark", hot_keys(keepers, "mark", "rows"), by=F.monotonically_increasing_id(), how="left_semi").dropDuplicates(["mark"]).select("row.*")
+    return once.union(repeated).select(columns)

@@ -7,13 +7,13 @@ original records back; each payload is verified against its digests as it is rea
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.llm.common import shared_folder
+
 _CRLF = "\r\n"
 _HTTP = f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}{_CRLF}"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -43,11 +43,6 @@ class Archive:
         return spark.read.schema("page_id long, header string, payload_key binary, payload_follows boolean").parquet(f"{self.folder}/headers")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's name below the session's ``spark.checkpoint.dir``, which all executors share."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='corpusmill-')}/{name}-{uuid.uuid4().hex}"
-
-
 def write(pages: DataFrame, folder: str, least_bytes: int = 0, date: str = "2000-01-01T00:00:00Z") -> Archive:
     """Writes one record for each row of pages (page_id, url, html) below ``folder``.
 
