@@ -9,23 +9,26 @@ in that space. Scoring multiplies matrices: texts by landmarks, then by coeffici
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import id_crc32, map_slices
 
 UNDETERMINED = "und"
-_letter = re.compile(r"[^\W\d_]").search
 #: ASCII other than letters counts as a space.
 _SPACED = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 _MIX = np.uint32(0x9E3779B1)
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether any character is a letter (categories L*); numerals such as ², ½ or Ⅷ aren't."""
+    return any(map(str.isalpha, text or ""))
+
+
 @dataclass(frozen=True)
 class Spectrum:
     """Which n-grams are taken and to how many positions they are hashed."""
@@ -76,7 +79,7 @@ class Model:
                 p = np.exp(4 * (f - f.max(1, keepdims=True)))
                 p /= p.sum(1, keepdims=True)
                 best = f.argmax(1)
-                out += [(self.languages[b], float(q[b])) if t and _letter(t) else (UNDETERMINED, 0.0) for t, b, q in zip(part, best, p, strict=True)]
+                out += [(self.languages[b], float(q[b])) if has_letter(t) else (UNDETERMINED, 0.0) for t, b, q in zip(part, best, p, strict=True)]
             return out
 
         return score
@@ -110,24 +113,24 @@ def fit(packed: np.ndarray, languages: list[str], spectrum: Spectrum, landmarks_
     return Model(spectrum, names, marks, root @ beta)
 
 
-def learn(documents: DataFrame, each: int = 400, always: int = 64, least_rows: int = 32, spectrum: Spectrum = Spectrum()) -> Model:
-    """Fits on a sample of about ``each`` labelled rows of each language, never on held-out ones: the ``always`` commonest and all of ``least_rows`` or more.
+def learn(documents: DataFrame, each: int = 400, most_rows: int = 24_000, most_landmarks: int = 4096, spectrum: Spectrum = Spectrum()) -> Model:
+    """Fits on a bounded sample of labelled rows, never held-out ones: about ``each`` of every language, fewer each if that exceeds ``most_rows``, but always one.
 
-    The sample is drawn by a hash of doc_id. Only the sample's packed presence rows, of
-    fixed size, come to the driver.
+    Every language with a labelled text that has a letter is learned. The sample is drawn by a hash of doc_id, rows of equal or null doc_id together. Only the
+    sample's packed presence rows, of fixed size, and a row a language come to the driver.
     """
-    usable = documents.where(F.col("lang").isNotNull() & (id_crc32("doc_id") % 3 != 1)).select("doc_id", "text", "lang")
-    place = F.row_number().over(Window.orderBy(F.desc("count"), "lang"))  # over a row a label
-    counts = usable.groupBy("lang").count().withColumn("place", place).where((F.col("place") <= always) | (F.col("count") >= least_rows)).collect()
+    usable = documents.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (id_crc32("doc_id") % 3 != 1)).select("doc_id", "text", "lang")
+    share = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
+    counts = usable.groupBy("lang").agg(F.count("*").alias("rows"), F.min(share).alias("least")).collect()
     if not counts:
         return fit(np.zeros((0, 0), np.uint8), [], spectrum)
-    share = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
-    parts = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], each / r["count"])))
-    chosen = share < F.try_element_at(parts, F.col("lang"))
+    each = min(each, max(1, most_rows // len(counts)))
+    parts = documents.sparkSession.createDataFrame([(r["lang"], max(each / r["rows"], r["least"])) for r in counts], "lang string, part double")
+    usable = usable.join(F.broadcast(parts), "lang").where(share <= F.col("part")).select("doc_id", "text", "lang")
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            rows = [(d, t, k) for d, t, k in zip(*(c.to_pylist() for c in batch.columns), strict=True) if t and _letter(t)]
+            rows = [(d, t, k) for d, t, k in zip(*(c.to_pylist() for c in batch.columns), strict=True) if has_letter(t)]
             if not rows:
                 return None
             packed = np.packbits(spectrum.presence([t for _, t, _ in rows]), axis=1)
@@ -135,15 +138,16 @@ def learn(documents: DataFrame, each: int = 400, always: int = 64, least_rows: i
 
         return work
 
-    sample = sorted(map_slices(usable.where(chosen), make, "doc_id long, lang string, packed binary").collect(), key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, bytes(r["packed"])))
+    sample = sorted(map_slices(usable, make, "doc_id long, lang string, packed binary").collect(), key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, bytes(r["packed"])))
     packed = np.frombuffer(b"".join(bytes(r["packed"]) for r in sample), np.uint8).reshape(len(sample), -1)
-    return fit(packed, [r["lang"] for r in sample], spectrum)
+    return fit(packed, [r["lang"] for r in sample], spectrum, min(32, max(1, most_landmarks // len(counts))))
 
 
 def predict(documents: DataFrame, model: Model, keep_columns: bool = False) -> DataFrame:
     """lang_pred and score for every whole text, beside doc_id or (``keep_columns``) all columns.
 
-    ``und`` with score 0 for a null, empty or letterless text, or if nothing could be learned. Nulls in other columns and
+    ``und`` with score 0 for a null, empty or letterless text, or if nothing could be learned. Very long texts are taken whole: a text is a set of
+    fixed size. Of equally scored languages the first by name is taken. Nulls in other columns and
     repeated rows pass through; an empty table stays empty. With ``keep_columns``, columns of the
     names lang_pred or score are replaced.
     """
