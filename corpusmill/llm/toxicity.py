@@ -14,7 +14,6 @@ import math
 import re
 import unicodedata
 from dataclasses import dataclass
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -69,34 +68,50 @@ class Model:
     terms: tuple[tuple[str, float], ...]  # as in SEED_TERMS, with weight
     curve: tuple[float, float, float, float]
 
-    @lru_cache(maxsize=1)
-    def automaton(self) -> ahocorasick.Automaton:
-        found = ahocorasick.Automaton()
-        for term, weight in self.terms:
-            found.add_word(f" {term}", (weight, len(term) + 1))
+    def scorer(self) -> Scorer:
+        return Scorer(self)
+
+
+class Scorer:
+    """A model with its automaton, built once a task."""
+
+    def __init__(self, model: Model):
+        self.curve, self.find = model.curve, ahocorasick.Automaton()
+        for term, weight in model.terms:
+            self.find.add_word(f" {term}", (weight, len(term) + 1))
         for phrase in EXCEPTIONS:
-            found.add_word(f" {phrase}", (-1.0, len(phrase) + 1))
-        found.make_automaton()
-        return found
+            self.find.add_word(f" {phrase}", (-1.0, len(phrase) + 1))
+        self.find.make_automaton()
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        """log1p of: weight of all hits, the same per 100 words; share of distinct words hit, at most 8, in eighths."""
-        folded = fold(text or "")
-        hits: dict[int, tuple[float, int]] = {}  # a word counts once, with its longest term
+    def hits(self, folded: str) -> dict[int, tuple[float, int]]:
+        """Weight and length of the longest term at each place, without those that begin inside an exception phrase."""
+        hits: dict[int, tuple[float, int]] = {}
         spared: list[tuple[int, int]] = []
-        for end, (weight, length) in self.automaton().iter(folded):
+        for end, (weight, length) in self.find.iter(folded):
             start = end + 1 - length
             if weight < 0:
                 spared.append((start, end))
             elif start not in hits or length > hits[start][1]:
                 hits[start] = (weight, length)
-        for a, b in spared:
-            hits = {s: h for s, h in hits.items() if not a <= s <= b}
+        spared.sort()
+        places, at = sorted(hits), 0
+        for a, b in spared:  # both in order of place, so that a long text's hits are walked through once
+            while at < len(places) and places[at] < a:
+                at += 1
+            while at < len(places) and places[at] <= b:
+                del hits[places[at]]
+                at += 1
+        return hits
+
+    def features(self, text: str | None) -> tuple[float, float, float]:
+        """log1p of: weight of all hits, the same per 100 words, the number of distinct words hit."""
+        folded = fold(text or "")
+        hits = self.hits(folded)
         if not hits:
             return 0.0, 0.0, 0.0
         total = sum(w for w, _ in hits.values())
         kinds = len({folded[s : s + n] for s, (_, n) in hits.items()})
-        return math.log1p(total), math.log1p(100 * total / max(1, len(folded.split()))), min(kinds, 8) / 8
+        return math.log1p(total), math.log1p(100 * total / max(1, len(folded.split()))), math.log1p(kinds)
 
     def score(self, text: str | None) -> float:
         a, b, c = self.features(text)
@@ -127,13 +142,13 @@ def _curve(features: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple
     return tuple(map(float, b))
 
 
-def learn(documents: DataFrame, labels: DataFrame, toxic_rows: int = 2000, clean_rows: int = 4000, most_terms: int = 2000, least_evidence: float = 22.0) -> Model:
+def learn(documents: DataFrame, labels: DataFrame, toxic_rows: int = 2000, clean_rows: int = 4000, least_evidence: float = 22.0) -> Model:
     """Lexicon and curve from a sample of about ``toxic_rows`` and ``clean_rows`` labelled rows, never held-out ones.
 
     The sample is drawn by a hash of doc_id. A term is a whole word or a word beginning of 4 to
     10 letters; it is taken if the likelihood ratio of its counts in toxic and clean texts
-    exceeds ``least_evidence`` and its odds are over 20 times higher in toxic ones; at most
-    ``most_terms`` come to the driver. Without labelled toxic rows the fixed list stands alone.
+    exceeds ``least_evidence`` and its odds are over 20 times higher in toxic ones; all of them
+    come to the driver, no more than the sample has. Terms of equal evidence are all taken. Without labelled toxic rows the fixed list stands alone.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (id_crc32("doc_id") % 5 != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
@@ -171,11 +186,10 @@ def learn(documents: DataFrame, labels: DataFrame, toxic_rows: int = 2000, clean
     odds = F.log((a + 0.5) / (toxic - a + 0.5)) - F.log((b + 0.5) / (clean - b + 0.5))
     found = map_slices(sample.select("toxic", "text"), count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     found = found.where(a >= 3).withColumns({"evidence": evidence, "odds": odds}).where((F.col("evidence") > least_evidence) & (F.col("odds") > math.log(20)))
-    rows = found.orderBy(F.desc("evidence"), "term").limit(most_terms).collect()
-    counted = {r["term"]: (r["a"], r["b"], r["odds"]) for r in rows}
+    counted = {r["term"]: (r["a"], r["b"], r["odds"]) for r in found.collect()}
     longer = {t[:-1] for t, c in counted.items() if len(t) > 1 and counted.get(t[:-1], (0, 0))[:2] == c[:2]}  # a longer term with the same counts says more
     terms: dict[str, float] = {}
-    for t in sorted(counted, key=len):
+    for t in sorted(counted, key=lambda t: (len(t), t)):
         if t not in longer and not any(terms.get(t[:k], -9) >= counted[t][2] - 1 for k in range(4, len(t))):
             terms[t] = counted[t][2]
     for t in SEED_TERMS:
@@ -184,8 +198,10 @@ def learn(documents: DataFrame, labels: DataFrame, toxic_rows: int = 2000, clean
     model = Model(tuple(sorted(terms.items())), _UNTAUGHT)
 
     def measure():
+        of = model.scorer().features
+
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x = np.array([model.features(t) for t in batch.column(1).to_pylist()]).reshape(-1, 3)
+            x = np.array([of(t) for t in batch.column(1).to_pylist()]).reshape(-1, 3)
             return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(x[:, k]) for k in range(3))], ["toxic", "x", "y", "z"])
 
         return work
@@ -198,7 +214,7 @@ def learn(documents: DataFrame, labels: DataFrame, toxic_rows: int = 2000, clean
 def score(documents: DataFrame, model: Model, keep_columns: bool = False) -> DataFrame:
     """toxicity (0 to 1) of every whole text, beside doc_id or (``keep_columns``) all columns.
 
-    A null text counts as empty. Nulls in other columns and repeated rows pass through; an empty table stays empty. With ``keep_columns``, a column of the
+    A null text counts as empty. Very long texts are taken whole, in one pass. Nulls in other columns and repeated rows pass through; an empty table stays empty. With ``keep_columns``, a column of the
     name toxicity is replaced.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -207,7 +223,7 @@ def score(documents: DataFrame, model: Model, keep_columns: bool = False) -> Dat
     names = documents.columns if keep_columns else ["doc_id"]
 
     def make():
-        of = shared.value.score
+        of = shared.value.scorer().score
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             columns = batch.columns if keep_columns else [batch.column(0)]

@@ -24,7 +24,7 @@ def prose(rng, lang, n):
 def languages(spark):
     rng = np.random.default_rng(0)
     rows = [(i, prose(rng, lang, 40), lang, "s", "x", "x") for i, lang in enumerate(itertools.islice(itertools.cycle(WORDS), 120))]
-    rows += [(200, None, "en", None, None, None), (201, "", "en", None, None, None), (202, "123 -- 456", "fr", None, None, None), (203, prose(rng, "de", 40), None, None, None, None), (None, prose(rng, "fr", 40), "fr", None, None, None), (3, rows[3][1], "en", "s", "x", "x"), (204, prose(rng, "en", 20000), None, None, None, None)]
+    rows += [(200, None, "en", None, None, None), (201, "", "en", None, None, None), (202, "½ ² 3 Ⅷ ①", "fr", None, None, None), (203, prose(rng, "de", 40), None, None, None, None), (None, prose(rng, "fr", 40), "fr", None, None, None), (3, rows[3][1], "en", "s", "x", "x"), (204, prose(rng, "en", 20000), None, None, None, None)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -41,6 +41,25 @@ def test_language(languages):
     assert {r.lang_pred for r in langid.identify(languages.selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()} == {"und"}
 
 
+def test_scores_of_a_dense_kernel_ridge(spark):
+    """With all training rows as landmarks, the Nystroem form is the kernel ridge regression itself."""
+    rng = np.random.default_rng(9)
+    spectrum = langid.Spectrum()
+    texts, names = zip(*((prose(rng, lang, 8), lang) for lang in WORDS for _ in range(25)), strict=True)
+    x = spectrum.presence(list(texts)).astype(float)
+    model = langid.fit(np.packbits(x.astype(np.uint8), axis=1), list(names), spectrum, landmarks_each=25, ridge=1.0)
+    size = np.sqrt(x.sum(1))
+    k = x @ x.T / np.outer(size, size)
+    target = np.where(np.array(names)[:, None] == np.array(sorted(WORDS)), 1.0, -1.0)
+    alpha = np.linalg.solve(k + 1.0 * len(texts) / 100 * np.eye(len(texts)), target)
+    new = [prose(rng, lang, 5) for lang in WORDS for _ in range(10)] + ["der house le", "water"]
+    y = spectrum.presence(new).astype(float)
+    f = (y @ x.T / np.outer(np.sqrt(y.sum(1)), size)) @ alpha
+    p = np.exp(4 * f) / np.exp(4 * f).sum(1, keepdims=True)
+    got = model.scorer()(new)
+    assert [g for g, _ in got] == [sorted(WORDS)[i] for i in f.argmax(1)] and np.allclose([s for _, s in got], p.max(1), atol=1e-3)
+
+
 def test_held_out_rows_teach_nothing(languages):
     changed = languages.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, "xx").otherwise(F.col("lang")))
     assert {r.lang_pred for r in langid.identify(changed).collect()} <= {"en", "fr", "de", "und"}
@@ -49,10 +68,28 @@ def test_held_out_rows_teach_nothing(languages):
 def test_folding_and_exceptions():
     assert toxicity.fold("An 1D10T, іdіоt i$!") == " an idiot  idiot i   "
     m = toxicity.Model(tuple((t, 5.0) for t in toxicity.SEED_TERMS), (-3.0, 3.0, 0.5, 1.0))
+    m = m.scorer()
     assert m.score("you stup1d fool") > 0.5 > m.score("put it into the trash can") and m.score(None) == m.score("") < 0.5
     assert m.score("what trash") > 0.5 and m.score("trashy") < 0.5
 
 
+def test_matches_of_a_plain_search():
+    rng = np.random.default_rng(7)
+    terms = tuple((t, float(w)) for w, t in enumerate(("bad", "badly ", "ill ", "illness", "scum ", "trash ", "fire"), 1))
+    words = ["bad", "badly", "badness", "ill", "illness", "trash", "can", "pond", "scum", "fire", "retard", "line", "x"]
+    scorer = toxicity.Model(terms, (0.0, 1, 1, 1)).scorer()
+    for _ in range(300):
+        folded = toxicity.fold(" ".join(rng.choice(words, 12)))
+        spared = [range(i, i + len(p) + 1) for p in toxicity.EXCEPTIONS for i in range(len(folded)) if folded.startswith(f" {p}", i)]
+        want = {}
+        for i in range(len(folded)):
+            at = max(((len(t) + 1, w) for t, w in terms if folded.startswith(f" {t}", i)), default=None)
+            if at and not any(i in s for s in spared):
+                want[i] = (at[1], at[0])
+        assert scorer.hits(folded) == want
+    assert scorer.features("bad " * 50_000)[2] == pytest.approx(np.log1p(1))
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(1)
     rows, labels = [], []
