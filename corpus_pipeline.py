@@ -10,8 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm import jaccard_join, langid, packing, toxicity
-from corpusmill.llm.common import table
-from corpusmill.llm.warc import shared_folder
+from corpusmill.llm.common import shared_folder, table
 
 
 
