@@ -16,7 +16,6 @@ SOURCE_CLASSES = {
     "src8": "OFFICIAL_WORKFLOW", "src9": "OFFICIAL_TRAINING", "src10": "PROFESSIONAL_INTERPRETATION", "src11": "INDUSTRY_PRACTICE",
 }
 JURISDICTIONS = {"en": "UK", "es": "EU"}
-QUERY_TERMS = 8  # of the oracles only, which still cut an item to its first content words
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,7 +91,7 @@ SQL_DOCS = f"""
         {_cases('authority_class', C.AUTHORITY_WEIGHTS, repr(C.DEFAULT_AUTHORITY_WEIGHT))} AS authority_weight, CASE WHEN jurisdiction = 'EU' THEN 0.35 ELSE 1.0 END::DOUBLE AS jurisdiction_weight FROM d0)"""
 SQL_TOKENS = "tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)"
 SQL_QUERY = f"""
-    q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 1 AND x NOT IN ({_STOP}))[1:{QUERY_TERMS}]) AS term FROM benchmark)"""
+    q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 1 AND x NOT IN ({_STOP}))) AS term FROM benchmark)"""
 SQL_BM25 = """
     st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM tok),
     post AS (SELECT t AS term, doc_id, dl, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS t FROM tok) WHERE t IN (SELECT term FROM q) GROUP BY ALL),
@@ -104,10 +103,11 @@ SQL_DENSE = """
     dv AS (SELECT doc_id, lane, embedding::DOUBLE[] AS v FROM d, ne JOIN embeddings e ON e.vec_id = d.doc_id % ne.n),
     qv AS (SELECT item_id AS query_id, embedding::DOUBLE[] AS v FROM benchmark, ne JOIN embeddings e ON e.vec_id = item_id % ne.n),
     den AS (SELECT query_id, doc_id, lane, list_cosine_similarity(qv.v, dv.v) AS dense FROM qv, dv)"""
-SQL_CANDIDATES = """
+def sql_candidates(k: int) -> str:
+    return f"""
     lexr AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id, lane ORDER BY round(bm25, 9) DESC, doc_id) AS r FROM lex JOIN d USING (doc_id)),
     denr AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id, lane ORDER BY round(dense, 9) DESC, doc_id) AS r FROM den),
-    ids AS (SELECT query_id, doc_id FROM lexr WHERE r <= 30 UNION SELECT query_id, doc_id FROM denr WHERE r <= 30),
+    ids AS (SELECT query_id, doc_id FROM lexr WHERE r <= {k} UNION SELECT query_id, doc_id FROM denr WHERE r <= {k}),
     cand AS (SELECT ids.query_id, ids.doc_id, d.lane, coalesce(bm25, 0.0) AS bm25, dense, d.authority_class, d.jurisdiction, d.source, d.n_chars, authority_weight, jurisdiction_weight
         FROM ids JOIN d USING (doc_id) LEFT JOIN lex ON lex.query_id = ids.query_id AND lex.doc_id = ids.doc_id JOIN den ON den.query_id = ids.query_id AND den.doc_id = ids.doc_id)"""
 
@@ -125,8 +125,12 @@ def sql_fused(by: str, alpha: float = C.ALPHA_FROZEN, beta: float = C.BM25_WEIGH
     ranked AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY round(final_score, 9) DESC, doc_id) AS rank FROM fin)"""
 
 
-SQL_HUB = ", ".join((SQL_DOCS, SQL_TOKENS, SQL_QUERY, SQL_BM25, SQL_DENSE, SQL_CANDIDATES))
-SQL_RANKED = ", ".join((SQL_HUB, sql_fused("query_id, lane")))
+def sql_hub(k: int = C.CANDIDATES) -> str:
+    return ", ".join((SQL_DOCS, SQL_TOKENS, SQL_QUERY, SQL_BM25, SQL_DENSE, sql_candidates(k)))
+
+
+def sql_ranked(k: int = C.CANDIDATES_FROZEN) -> str:
+    return ", ".join((sql_hub(k), sql_fused("query_id, lane")))
 
 
 def sql_shingles(n: int = 5, words: str = "w") -> str:

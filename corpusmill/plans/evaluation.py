@@ -40,7 +40,7 @@ def reranked(spark: SparkSession, sf: str, lam: float | None = None) -> DataFram
     return R.reranked(K.ranked(spark, sf).join(overlap_scores(spark, sf), ["query_id", "doc_id"], "left"), ["query_id", "lane"], lam=lam)
 
 
-_EVAL = f"{K.SQL_RANKED}, {K.SQL_GOLD}, tgt AS (SELECT query_id, lane AS requirement_id, doc_id FROM gold JOIN d USING (doc_id))"
+_EVAL = f"{K.sql_ranked()}, {K.SQL_GOLD}, tgt AS (SELECT query_id, lane AS requirement_id, doc_id FROM gold JOIN d USING (doc_id))"
 _CE = """
     qn AS (SELECT query_id, count(*) AS n FROM q GROUP BY query_id),
     ce AS (SELECT query_id, doc_id, c / n AS ce_score FROM (SELECT query_id, doc_id, count(*) AS c FROM q JOIN post USING (term) GROUP BY ALL) JOIN qn USING (query_id)),
@@ -101,19 +101,19 @@ def mrr(spark: SparkSession, sf: str) -> DataFrame:
     return first.select("query_id", F.coalesce(F.round(1 / F.col("first"), 6), F.lit(0.0)).alias("mrr"), F.coalesce(F.col("first") <= 10, F.lit(False)).alias("hit_10"))
 
 
-@query(f"WITH {K.SQL_RANKED}, {_CE} SELECT query_id, lane, doc_id, CAST(rank AS INTEGER) AS rank, CAST(post_rank AS INTEGER) AS post_rank FROM post_ WHERE post_rank <= 10")
+@query(f"WITH {K.sql_ranked()}, {_CE} SELECT query_id, lane, doc_id, CAST(rank AS INTEGER) AS rank, CAST(post_rank AS INTEGER) AS post_rank FROM post_ WHERE post_rank <= 10")
 def rerank_order(spark: SparkSession, sf: str) -> DataFrame:
     return reranked(spark, sf).where("post_rank <= 10").select("query_id", "lane", "doc_id", "rank", "post_rank")
 
 
-@query(f"""WITH {K.SQL_RANKED}, {_CE}, mm AS (SELECT *, min(CASE WHEN head THEN ce_score END) OVER w AS cl, max(CASE WHEN head THEN ce_score END) OVER w AS chi, min(CASE WHEN head THEN final_score END) OVER w AS fl, max(CASE WHEN head THEN final_score END) OVER w AS fh FROM rc WINDOW w AS (PARTITION BY query_id, lane)),
+@query(f"""WITH {K.sql_ranked()}, {_CE}, mm AS (SELECT *, min(CASE WHEN head THEN ce_score END) OVER w AS cl, max(CASE WHEN head THEN ce_score END) OVER w AS chi, min(CASE WHEN head THEN final_score END) OVER w AS fl, max(CASE WHEN head THEN final_score END) OVER w AS fh FROM rc WINDOW w AS (PARTITION BY query_id, lane)),
     s AS (SELECT *, 0.5 * CASE WHEN chi - cl < 1e-12 THEN 0.5 ELSE (ce_score - cl) / (chi - cl) END + 0.5 * CASE WHEN fh - fl < 1e-12 THEN 0.5 ELSE (final_score - fl) / (fh - fl) END AS blend FROM mm),
     o AS (SELECT query_id, lane, doc_id, CAST(rank AS INTEGER) AS rank, CAST(row_number() OVER (PARTITION BY query_id, lane ORDER BY CASE WHEN head THEN 0 ELSE 1 END, CASE WHEN head THEN round(blend, 9) END DESC NULLS LAST, rank) AS INTEGER) AS post_rank FROM s) SELECT * FROM o WHERE post_rank <= 10""")
 def rerank_blend(spark: SparkSession, sf: str) -> DataFrame:
     return reranked(spark, sf, lam=0.5).where("post_rank <= 10").select("query_id", "lane", "doc_id", "rank", "post_rank")
 
 
-@query(f"""WITH {K.SQL_RANKED}, {_CE} SELECT coalesce(authority_class, 'NONE') AS authority_class, count(*) AS n, round(avg(post_rank - rank), 6) AS mean_move, CAST(quantile_cont(post_rank - rank, 0.5) AS DOUBLE) AS median_move,
+@query(f"""WITH {K.sql_ranked()}, {_CE} SELECT coalesce(authority_class, 'NONE') AS authority_class, count(*) AS n, round(avg(post_rank - rank), 6) AS mean_move, CAST(quantile_cont(post_rank - rank, 0.5) AS DOUBLE) AS median_move,
     CAST(sum(CASE WHEN rank > 25 AND post_rank <= 25 THEN 1 ELSE 0 END) AS BIGINT) AS moved_in, CAST(sum(CASE WHEN rank <= 25 AND post_rank > 25 THEN 1 ELSE 0 END) AS BIGINT) AS moved_out FROM post_ GROUP BY 1""")
 def rank_movement(spark: SparkSession, sf: str) -> DataFrame:
     move, inside, outside = F.col("post_rank") - F.col("rank"), (F.col("rank") > 25) & (F.col("post_rank") <= 25), (F.col("rank") <= 25) & (F.col("post_rank") > 25)
@@ -146,13 +146,13 @@ def signal_describe(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("signal", "is_gold", "n", *(F.round(c, 6).alias(c) for c in d.columns[3:]))
 
 
-@query(f"WITH {K.SQL_RANKED} SELECT round(avg((final_score > 0.9)::INT), 6) AS over_90, round(avg((final_score < 0.1)::INT), 6) AS under_10, count(DISTINCT round(final_score, 6)) AS n_unique FROM ranked")
+@query(f"WITH {K.sql_ranked()} SELECT round(avg((final_score > 0.9)::INT), 6) AS over_90, round(avg((final_score < 0.1)::INT), 6) AS under_10, count(DISTINCT round(final_score, 6)) AS n_unique FROM ranked")
 def signal_saturation(spark: SparkSession, sf: str) -> DataFrame:
     s = F.col("final_score")
     return K.ranked(spark, sf).agg(F.round(F.avg((s > 0.9).cast("int")), 6).alias("over_90"), F.round(F.avg((s < 0.1).cast("int")), 6).alias("under_10"), F.countDistinct(F.round(s, 6)).alias("n_unique"))
 
 
-@query(f"""WITH {K.SQL_RANKED}, m AS (SELECT rank() OVER (ORDER BY round(bm25, 9)) + (count(*) OVER (PARTITION BY round(bm25, 9)) - 1) / 2.0 AS a, rank() OVER (ORDER BY round(dense, 9)) + (count(*) OVER (PARTITION BY round(dense, 9)) - 1) / 2.0 AS b FROM ranked) SELECT round(corr(a, b), 6) AS spearman FROM m""")
+@query(f"""WITH {K.sql_ranked()}, m AS (SELECT rank() OVER (ORDER BY round(bm25, 9)) + (count(*) OVER (PARTITION BY round(bm25, 9)) - 1) / 2.0 AS a, rank() OVER (ORDER BY round(dense, 9)) + (count(*) OVER (PARTITION BY round(dense, 9)) - 1) / 2.0 AS b FROM ranked) SELECT round(corr(a, b), 6) AS spearman FROM m""")
 def signal_spearman(spark: SparkSession, sf: str) -> DataFrame:
     """Correlation of mid-ranks; ranks come from counts of distinct values, not from one sorted table of all rows."""
     d = K.ranked(spark, sf).select(F.round("bm25", 9).alias("x"), F.round("dense", 9).alias("y"))
@@ -165,7 +165,7 @@ def signal_spearman(spark: SparkSession, sf: str) -> DataFrame:
     return d.join(ranks("x"), "x").join(ranks("y"), "y").agg(F.round(F.corr("r_x", "r_y"), 6).alias("spearman"))
 
 
-@query(f"""WITH {K.SQL_RANKED} SELECT count(*) AS pairs, CAST(sum((s.final_score > p.final_score)::INT) AS BIGINT) AS inversions FROM ranked p JOIN ranked s ON s.query_id = p.query_id AND s.lane = p.lane AND p.authority_class = 'PRIMARY_LEGISLATION' AND s.authority_class = 'SECONDARY_LEGISLATION'""")
+@query(f"""WITH {K.sql_ranked()} SELECT count(*) AS pairs, CAST(sum((s.final_score > p.final_score)::INT) AS BIGINT) AS inversions FROM ranked p JOIN ranked s ON s.query_id = p.query_id AND s.lane = p.lane AND p.authority_class = 'PRIMARY_LEGISLATION' AND s.authority_class = 'SECONDARY_LEGISLATION'""")
 def authority_inversions(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of primary and secondary legislation of one query in which the secondary scores higher, counted by ranks in each group."""
     c = K.ranked(spark, sf).where(F.col("lane") == "legislation").select("query_id", "final_score", (F.col("authority_class") == "PRIMARY_LEGISLATION").cast("int").alias("p"))

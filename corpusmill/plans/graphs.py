@@ -56,7 +56,7 @@ def _seeds(spark: SparkSession, sf: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("query_id"), F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("node"))
 
 
-_ONE = f"""{_EDGES_SQL}, seed AS (SELECT DISTINCT o_orderkey % 1000 AS query_id, 'O' || o_orderkey AS node FROM orders WHERE o_orderkey % 50 = 0), h1 AS ({_HOP.format(frontier='seed')}),
+_ONE = f"""{_EDGES_SQL}, seed AS (SELECT DISTINCT o_orderkey AS query_id, 'O' || o_orderkey AS node FROM orders WHERE o_orderkey % 50 = 0), h1 AS ({_HOP.format(frontier='seed')}),
     k1 AS (SELECT query_id, t AS node, min(r) AS r FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, s, t, relation) AS r FROM h1) WHERE r <= 40 GROUP BY ALL),
     n1 AS (SELECT * FROM k1 WHERE NOT EXISTS (SELECT 1 FROM seed WHERE seed.query_id = k1.query_id AND seed.node = k1.node))"""
 
@@ -110,20 +110,28 @@ def chunks_from_documents(spark: SparkSession, sf: str) -> DataFrame:
     return S.chunked(d, "blocks", 1500).select("doc_id", "chunk_ordinal", "n_blocks", F.length("text").cast("bigint").alias("n_chars"))
 
 
-@query(r"""WITH r AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)\bpart\s+[0-9]+[A-Za-z]*')) AS m FROM pages) SELECT page_id, count(*) AS n FROM r GROUP BY page_id""")
+#: Texts with references: every page's html, and a sentence made of each order line's numbers, as the pages cite nothing.
+_REFS_SQL = r"""t AS (SELECT page_id AS node_id, html AS text FROM pages
+        UNION ALL SELECT 1000000 + l_orderkey * 10 + l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'Section ' WHEN 1 THEN 'see regulation ' WHEN 2 THEN 'schedules ' ELSE 'part ' END || l_suppkey || CASE WHEN l_returnflag = 'A' THEN 'A' ELSE '' END || CASE WHEN l_linestatus = 'F' THEN '(' || l_linenumber || ')(b)' ELSE '' END || ' and part ' || l_linenumber FROM lineitem),
+    r AS (SELECT node_id, regexp_extract_all(text, '(?i)\b(?:section|regulation|schedule|part)s?\s+[0-9]+[A-Za-z]*(?:\([0-9A-Za-z]+\))*') AS m FROM t),
+    u AS (SELECT node_id AS source_node_id, CAST(unnest(range(len(m))) AS INTEGER) AS ordinal, unnest(m) AS t FROM r),
+    l AS (SELECT source_node_id, ordinal, upper(regexp_extract(t, '(?i)^(section|regulation|schedule|part)', 1)) AS reference_type, regexp_extract(t, '\s([0-9].*)$', 1) AS locator FROM u)"""
+
+
+def _references(spark: SparkSession, sf: str) -> DataFrame:
+    unit = F.when(F.col("l_linenumber") % 4 == 0, "Section ").when(F.col("l_linenumber") % 4 == 1, "see regulation ").when(F.col("l_linenumber") % 4 == 2, "schedules ").otherwise("part ")
+    number = F.concat(F.col("l_suppkey").cast("string"), F.when(F.col("l_returnflag") == "A", "A").otherwise(""), F.when(F.col("l_linestatus") == "F", F.concat(F.lit("("), F.col("l_linenumber").cast("string"), F.lit(")(b)"))).otherwise(""))
+    made = K.table(spark, sf, "lineitem").select((1000000 + F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("node_id"), F.concat(unit, number, F.lit(" and part "), F.col("l_linenumber").cast("string")).alias("text"))
+    return G.references(K.table(spark, sf, "pages").select(F.col("page_id").alias("node_id"), F.col("html").alias("text")).unionByName(made))
+
+
+@query(f"WITH {_REFS_SQL} SELECT source_node_id AS page_id, reference_type, count(*) AS n FROM l GROUP BY ALL")
 def reference_counts(spark: SparkSession, sf: str) -> DataFrame:
     """References of each page by type."""
     return _references(spark, sf).groupBy(F.col("source_node_id").alias("page_id"), "reference_type").agg(F.count("*").alias("n"))
 
 
-@query(r"""WITH r AS (SELECT page_id, regexp_extract_all(html, '(?i)\b(?:section|regulation|schedule|part)s?\s+[0-9]+[A-Za-z]*(?:\([0-9A-Za-z]+\))*') AS m FROM pages),
-    u AS (SELECT page_id AS source_node_id, CAST(unnest(range(len(m))) AS INTEGER) AS ordinal, unnest(m) AS t FROM r),
-    l AS (SELECT source_node_id, ordinal, upper(regexp_extract(t, '(?i)^(section|regulation|schedule|part)', 1)) AS reference_type, regexp_extract(t, '\s([0-9].*)$', 1) AS locator FROM u)
-    SELECT *, regexp_extract_all(locator, '[0-9A-Za-z]+') AS parts FROM l""")
+@query(f"WITH {_REFS_SQL} SELECT *, regexp_extract_all(locator, '[0-9A-Za-z]+') AS parts FROM l")
 def page_references(spark: SparkSession, sf: str) -> DataFrame:
     """Every reference to a section, regulation, schedule or part."""
     return _references(spark, sf)
-
-
-def _references(spark: SparkSession, sf: str) -> DataFrame:
-    return G.references(K.table(spark, sf, "pages").select(F.col("page_id").alias("node_id"), F.col("html").alias("text")))

@@ -89,24 +89,24 @@ def _shown(df: DataFrame, *more: str) -> DataFrame:
     return df.select("query_id", *more, "doc_id", *(F.round(c, 6).alias(c) for c in ("bm25", "dense", "fusion_score", "final_score")), "rank")
 
 
-@query(f"WITH {K.SQL_HUB}, {K.sql_fused('query_id', 0.0, juris=False)} SELECT {_COLS} FROM ranked WHERE rank <= 20")
+@query(f"WITH {K.sql_hub()}, {K.sql_fused('query_id', 0.0, juris=False)} SELECT {_COLS} FROM ranked WHERE rank <= 20")
 def hybrid_fusion(spark: SparkSession, sf: str) -> DataFrame:
     """Pooled lexical and dense fusion without authority."""
     return _shown(R.top(R.fused(K.candidates(spark, sf), ["query_id"], 0.0, juris=False), ["query_id"], "final_score", 20))
 
 
-@query(f"WITH {K.SQL_HUB}, {K.sql_fused('query_id', C.ALPHA_DEFAULT)} SELECT {_COLS} FROM ranked WHERE rank <= 20")
+@query(f"WITH {K.sql_hub()}, {K.sql_fused('query_id', C.ALPHA_DEFAULT)} SELECT {_COLS} FROM ranked WHERE rank <= 20")
 def hybrid_authority_jurisdiction(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(R.top(R.fused(K.candidates(spark, sf), ["query_id"], C.ALPHA_DEFAULT), ["query_id"], "final_score", 20))
 
 
-@query(f"WITH {K.SQL_RANKED} SELECT lane, {_COLS} FROM ranked WHERE rank <= 25")
+@query(f"WITH {K.sql_ranked(C.CANDIDATES)} SELECT lane, {_COLS} FROM ranked WHERE rank <= 25")
 def two_lane_search(spark: SparkSession, sf: str) -> DataFrame:
     """Each lane retrieved and ranked by itself, 25 results a lane."""
     return _shown(K.ranked(spark, sf, k=C.CANDIDATES).where("rank <= 25"), "lane")
 
 
-@query(f"""WITH {K.SQL_HUB}, {K.sql_fused('query_id', C.ALPHA_DEFAULT)}, b AS (SELECT *, min(CASE WHEN lane = 'legislation' THEN rank END) OVER (PARTITION BY query_id) AS best FROM ranked),
+@query(f"""WITH {K.sql_hub()}, {K.sql_fused('query_id', C.ALPHA_DEFAULT)}, b AS (SELECT *, min(CASE WHEN lane = 'legislation' THEN rank END) OVER (PARTITION BY query_id) AS best FROM ranked),
     p AS (SELECT query_id, doc_id, lane, CAST(rank AS INTEGER) AS rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN best > 3 AND rank = best THEN 0 ELSE rank END) AS INTEGER) AS promoted_rank FROM b) SELECT * FROM p WHERE promoted_rank <= 10""")
 def lane_promotion(spark: SparkSession, sf: str) -> DataFrame:
     ranked = R.top(R.fused(K.candidates(spark, sf), ["query_id"], C.ALPHA_DEFAULT), ["query_id"], "final_score", 1 << 30)
@@ -117,7 +117,7 @@ _GRID = [(0.0, 0.4, False), (0.1, 0.4, True), (0.2, 0.4, True), (0.3, 0.4, True)
 _GRID_SQL = ", ".join(f"({a}::DOUBLE, {b}::DOUBLE, {j})" for a, b, j in _GRID)
 
 
-@query(f"""WITH {K.SQL_HUB}, g AS (SELECT * FROM (VALUES {_GRID_SQL}) t(alpha, beta, juris)),
+@query(f"""WITH {K.sql_hub(C.CANDIDATES_FROZEN)}, g AS (SELECT * FROM (VALUES {_GRID_SQL}) t(alpha, beta, juris)),
     nrm AS (SELECT *, {K.sql_norm('bm25', 'query_id, lane')} AS bm25_norm, {K.sql_norm('dense', 'query_id, lane')} AS dense_norm, {K.sql_norm('authority_weight', 'query_id, lane')} AS authority_norm FROM cand),
     s AS (SELECT *, ((beta * bm25_norm + (1 - beta) * dense_norm) * (1 - alpha) + authority_norm * alpha) * CASE WHEN juris THEN jurisdiction_weight ELSE 1 END AS score FROM nrm, g),
     r AS (SELECT alpha, beta, juris, query_id, lane, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY alpha, beta, juris, query_id, lane ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 5""")
@@ -132,7 +132,7 @@ def weight_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return R.top(swept.withColumn("score", score), keys, "score", 5).select(*keys, "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"""WITH {K.SQL_HUB}, a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, doc_id) AS r FROM lex), b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(dense, 9) DESC, doc_id) AS r FROM den),
+@query(f"""WITH {K.sql_hub()}, a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, doc_id) AS r FROM lex), b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(dense, 9) DESC, doc_id) AS r FROM den),
     u AS (SELECT query_id, doc_id, sum(1.0 / (60 + r)) AS rrf FROM (SELECT * FROM a WHERE r <= 50 UNION ALL SELECT * FROM b WHERE r <= 50) GROUP BY ALL),
     r AS (SELECT query_id, doc_id, round(rrf, 8) AS rrf, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, doc_id) AS INTEGER) AS rank FROM u) SELECT * FROM r WHERE rank <= 10""")
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:

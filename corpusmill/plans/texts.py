@@ -188,9 +188,14 @@ def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(r"""SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(url, '[^A-Za-z0-9_.-]+', '_', 'g'), '^_+', ''), '_+$', ''), ''), 'UNKNOWN')[1:220] AS safe, regexp_extract(url, 'https?://(?:www\.)?([^/]+)', 1) AS domain,
-    CASE WHEN contains(url, '/en/') THEN 'BLOCKS' ELSE 'BLOCKS' END AS route FROM pages""")
+    CASE WHEN regexp_matches(trim(coalesce(url, '')), '(?i)legislation\.gov\.uk/.*?/data\.(akn|xml)$|legislation\.gov\.uk/[a-z]+/\d{4}/[\w-]+/?$') THEN 'LEGISLATION' ELSE 'BLOCKS' END AS route
+    FROM (SELECT page_id, url FROM pages UNION ALL SELECT -o_orderkey, 'https://www.legislation.gov.uk/' || CASE WHEN o_orderstatus = 'F' THEN 'ukpga/' ELSE 'uksi/x/' END || (2000 + o_custkey % 30) || '/' || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN '/data.akn' WHEN o_orderkey % 3 = 1 THEN '/' ELSE '' END FROM orders)""")
 def url_fields(spark: SparkSession, sf: str) -> DataFrame:
-    return K.table(spark, sf, "pages").select("page_id", T.safe_id(F.col("url")).alias("safe"), T.domain(F.col("url")).alias("domain"), T.ingest_route(F.col("url")).alias("route"))
+    """Safe id, domain and ingestion route of each page's address and of one made of each order's numbers, as no page is legislation."""
+    made = K.table(spark, sf, "orders").select((-F.col("o_orderkey")).alias("page_id"), F.concat(
+        F.lit("https://www.legislation.gov.uk/"), F.when(F.col("o_orderstatus") == "F", "ukpga/").otherwise("uksi/x/"), (2000 + F.col("o_custkey") % 30).cast("string"), F.lit("/"), F.col("o_orderkey").cast("string"),
+        F.when(F.col("o_orderkey") % 3 == 0, "/data.akn").when(F.col("o_orderkey") % 3 == 1, "/").otherwise("")).alias("url"))
+    return K.table(spark, sf, "pages").select("page_id", "url").unionByName(made).select("page_id", T.safe_id(F.col("url")).alias("safe"), T.domain(F.col("url")).alias("domain"), T.ingest_route(F.col("url")).alias("route"))
 
 
 @query(f"""SELECT item_id, round(len(list_intersect(s, f)) / len(s), 4) AS grounding FROM (SELECT item_id, list_filter(list_distinct(regexp_extract_all(lower(text[1:120]), '[a-z][a-z\\-]{{2,}}')), lambda x: x NOT IN ({', '.join(f"'{w}'" for w in sorted(C.GROUNDING_STOPWORDS))})) AS s, list_distinct(regexp_extract_all(lower(text), '[a-z][a-z\\-]{{2,}}')) AS f FROM benchmark) WHERE len(s) > 0""")
