@@ -119,7 +119,7 @@ def learn(x: np.ndarray, parts: int, k: int = 20, recall: float = 0.97, hidden:
     part = balanced_parts(x, graph, parts)
     target = np.zeros((len(x), parts))
     np.add.at(target, (np.repeat(np.arange(len(x)), degree + 1), part[np.column_stack([np.arange(len(x)), graph])].ravel()), 1 / (degree + 1))
-    held = np.arange(len(x)) % 10 == 0 if len(x) >= 100 else np.zeros(len(x), bool)
+    held = np.arange(len(x)) % 10 == 0 if len(x) > k else np.zeros(len(x), bool)  # with no more than k all parts have to be tried
     w1, b1, w2, b2 = _train(x[~held], target[~held], hidden, epochs, seed)
     router = Router(w1 / scale, b1, w2, b2, 1.0)
     if not held.any():
@@ -138,12 +138,15 @@ def learn(x: np.ndarray, parts: int, k: int = 20, recall: float = 0.97, hidden:
 
 
 def _valid(embeddings: DataFrame) -> DataFrame:
-    """vec_id and vector (doubles) of the rows that take part."""
+    """vec_id and vector (doubles) of the rows that take part; of rows of equal vec_id the one with the least vector."""
     v = embeddings.where(F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
     good = F.forall("vector", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("vector", lambda c: c != 0)
     v = v.where(good)
     size = v.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return v.where(F.size("vector") == (size["d"] if size else 0))
+    v = v.where(F.size("vector") == (size["d"] if size else 0))
+    if v.groupBy("vec_id").count().where("count > 1").limit(1).count():  # only then are vectors shuffled
+        v = v.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    return v
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -207,13 +210,21 @@ def _blocks(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, count
 
 
-def search(embeddings: DataFrame, every: int = 20, k: int = 20, sample_rows: int = 6000, rows_per_part: int = 512, most_parts: int = 256, recall: float = 0.97) -> DataFrame:
+def _place(ids: np.ndarray, of: np.ndarray, salt: int) -> np.ndarray:
+    """A number from 0 below ``of`` for each id, by a hash."""
+    h = (ids.astype(np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((h >> np.uint64(33)).astype(np.int64)) % of
+
+
+def search(embeddings: DataFrame, every: int = 20, k: int = 20, sample_rows: int = 6000, rows_per_part: int = 512, recall: float = 0.97) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every vector whose vec_id is divisible by ``every``.
 
     Nearness is the inner product in double precision. The router is fitted on about ``sample_rows``
-    vectors, drawn by a hash of vec_id; all vectors are indexed. A null vec_id and vectors that are null, zero, of null or
+    vectors, drawn by a hash of vec_id; all vectors are indexed. Parts grow with the table, in powers of two, as far as the sample has four rows for each; small tables
+    have parts of fewer rows. A null vec_id and vectors that are null, zero, of null or
     non-finite components, or of another length than most take no part; rows of equal vec_id count
-    once, whichever vector is met first; a query isn't its own neighbour. Ties go to smaller vec_id. Other columns are left out,
+    once, with the least vector; a query isn't its own neighbour. Ties go to smaller vec_id. Other columns are left out,
     and an empty table gives none. A query tries parts until they hold more than k vectors, or all of them.
     """
     spark = embeddings.sparkSession
@@ -226,7 +237,7 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, sample_rows: int
     if not sample.num_rows:
         sample = valid.limit(1).toArrow()
     sample = sample.sort_by("vec_id")
-    parts = 1 << max(0, min(most_parts, n // rows_per_part, sample.num_rows // 4).bit_length() - 1)
+    parts = 1 << max(0, min(max(n // rows_per_part, min(16, n // 16)), sample.num_rows // 4).bit_length() - 1)
     router = spark.sparkContext.broadcast(learn(_matrix(sample.column("vector")), parts, k, recall))
 
     def file():
@@ -259,11 +270,28 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, sample_rows: int
     chunks = np.ones(int(first[-1] + count[-1]), np.int64)
     for r in queries.groupBy("block").count().collect():
         chunks[r["block"]] = max(1, -(-r["count"] // QUERY_ROWS))
-    firsts, counts, chunked = (F.array(*(F.lit(int(c)) for c in v)) for v in (first, count, chunks))
-    place = lambda of: F.pmod(F.xxhash64("vec_id", F.lit("block")), of).cast("int")
-    left = filed.withColumn("block", F.get(firsts, F.col("part")) + place(F.get(counts, F.col("part"))))
-    left = left.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.get(chunked, F.col("block")) - 1)))
-    right = queries.withColumn("chunk", place(F.get(chunked, F.col("block"))))
+    layout = spark.sparkContext.broadcast((first, count, chunks))
+
+    def place_candidates():
+        first, count, chunks = layout.value
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            part = batch.column(2).to_numpy()
+            block = first[part] + _place(batch.column(0).to_numpy(), count[part], 1)
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(block, pa.int32()), pa.array([np.arange(c, dtype=np.int32) for c in chunks[block]], pa.list_(pa.int32()))], ["vec_id", "vector", "part", "block", "chunks"])
+
+        return work
+
+    def place_queries():
+        chunks = layout.value[2]
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(_place(batch.column(0).to_numpy(), chunks[batch.column(3).to_numpy()], 2), pa.int32())], ["vec_id", "vector", "parts", "block", "chunk"])
+
+        return work
+
+    left = map_slices(filed, place_candidates, "vec_id long, vector array<double>, part int, block int, chunks array<int>").select("vec_id", "vector", "part", "block", F.explode("chunks").alias("chunk"))
+    right = map_slices(queries, place_queries, "vec_id long, vector array<double>, parts array<int>, block int, chunk int")
     found = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(lambda c, q: _rerank(c, q, k), _OUT)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -78,6 +78,15 @@ def test_prefixes_append_and_replace(data, more, a, b):
     assert e.data == whole and e.tokens() == (_merge(whole) if whole else [])
 
 
+def test_an_edit_of_a_long_text_redoes_little():
+    data = (" ".join(f"word{i} and some more" for i in range(3000))).encode()
+    e = bpe.PrefixEncoding(_tables, data)
+    for start, stop, new in ((100, 104, b"xy"), (30_000, 30_000, b"inserted"), (50_000, 50_007, b"")):
+        assert e.replace(start, stop, new) < 10 * _tables.longest
+        data = data[:start] + new + data[stop:]
+        assert e.data == data and e.tokens() == _merge(data)
+
+
 def test_first_fit_tree():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 101, 300).tolist()
