@@ -104,13 +104,14 @@ def _sql_of_url_filters(rounds: int = 8, damping: float = 0.85) -> str:
         "v AS (SELECT host, count(*) AS pages, count(*) FILTER (said = 'allow') AS allow, count(*) FILTER (said = 'block') AS block FROM j WHERE host <> '' GROUP BY host)",
         "tf AS (SELECT source, target, n / sum(n) OVER (PARTITION BY source) AS share FROM e)",
         "df AS (SELECT target AS source, source AS target, n / sum(n) OVER (PARTITION BY target) AS share FROM e)",
-        "ts AS (SELECT host, allow::DOUBLE AS mass FROM v WHERE 2 * allow > pages)",
-        "ds AS (SELECT host, block::DOUBLE AS mass FROM v WHERE 2 * block > pages)",
+        "ts AS (SELECT host, allow::DOUBLE / sum(allow) OVER () AS mass FROM v WHERE 2 * allow > pages)",
+        "ds AS (SELECT host, block::DOUBLE / sum(block) OVER () AS mass FROM v WHERE 2 * block > pages)",
     ]
     for c in "td":
         for i in range(1, rounds + 1):
             before = f"{c}{i - 1}" if i > 1 else f"{c}s"
-            ctes.append(f"{c}{i} AS (SELECT host, sum(mass) AS mass FROM (SELECT host, {1 - damping} * mass AS mass FROM {c}s UNION ALL SELECT target, {damping} * mass * share FROM {before} JOIN {c}f ON host = source) GROUP BY host)")
+            ctes.append(f"{c}r{i} AS (SELECT host, sum(mass) AS mass FROM (SELECT host, {1 - damping} * mass AS mass FROM {c}s UNION ALL SELECT target, {damping} * mass * share FROM {before} JOIN {c}f ON host = source) GROUP BY host)")
+            ctes.append(f"{c}{i} AS (SELECT r.host, r.mass + coalesce(s.mass, 0) * (1 - (SELECT sum(mass) FROM {c}r{i})) AS mass FROM {c}r{i} r LEFT JOIN {c}s s ON s.host = r.host)")
     return f"""WITH {', '.join(ctes)} SELECT page_id, j.host, path, rule, coalesce(said, CASE WHEN coalesce(d.mass, 0) > coalesce(t.mass, 0) THEN 'block' ELSE 'allow' END) AS verdict
         FROM j LEFT JOIN t{rounds} t ON t.host = j.host LEFT JOIN d{rounds} d ON d.host = j.host"""
 

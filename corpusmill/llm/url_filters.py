@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import checkpointed
+from corpusmill.llm.common import Workspace, hot_keys, salted_join
 
 
 def _after_scheme(url: Column) -> Column:
@@ -49,44 +49,52 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return ends.select("source", target.alias("target")).where("source <> '' AND target <> '' AND source <> target").groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
-def _propagated(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float) -> DataFrame:
-    """(host, mass): personalised PageRank along edges (source, target, n) from seeds (host, mass); mass at hosts without links onward is lost.
+def _propagated(work: Workspace, name: str, edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float) -> DataFrame:
+    """(host, mass): personalised PageRank along edges (source, target, n) from seeds (host, mass).
 
-    Rounds go on until no host's mass changes by more than ``tolerance`` of it; a newly reached host changes by all of it.
+    Seeds are scaled to a sum of 1, and so are all masses: what lies at hosts without links onward goes back to the seeds. Rounds go on until no
+    host's mass changes by more than ``tolerance`` of it; a newly reached host changes by all of it. A hub's links are dealt out over many tasks.
     """
-    out = edges.groupBy("source").agg(F.sum("n").alias("all"))
-    shares = checkpointed(edges.join(out, "source").select("source", "target", (F.col("n") / F.col("all")).alias("share")))
-    mass = start = checkpointed(seeds)
-    moving = True
+    out = work.keep(f"{name}_out", edges.groupBy("source").agg(F.sum("n").alias("all"), F.count("*").alias("rows")))
+    hot = hot_keys(out, "source", "rows")
+    shares = work.keep(f"{name}_shares", salted_join(edges, out.select("source", "all"), "source", hot, by="target").select("source", "target", (F.col("n") / F.col("all")).alias("share")))
+    total = seeds.agg(F.sum("mass")).first()[0] or 1.0
+    start = work.keep(f"{name}_seeds", seeds.select("host", (F.col("mass") / total).alias("seed")))
+    mass, turn, moving = start.select("host", "seed", F.col("seed").alias("mass")), 0, True
     while moving:
-        passed = mass.join(shares, mass["host"] == shares["source"]).select(F.col("target").alias("host"), (damping * F.col("mass") * F.col("share")).alias("mass"), F.lit(0.0).alias("before"))
-        kept = start.select("host", ((1 - damping) * F.col("mass")).alias("mass"), F.lit(0.0).alias("before")).union(mass.select("host", F.lit(0.0), "mass"))
-        now = checkpointed(kept.union(passed).groupBy("host").agg(F.sum("mass").alias("mass"), F.sum("before").alias("before")))
+        from_host = mass.select(F.col("host").alias("source"), "mass")
+        passed = salted_join(shares, from_host, "source", hot, by="target").select(F.col("target").alias("host"), (damping * F.col("mass") * F.col("share")).alias("mass"), F.lit(0.0).alias("seed"), F.lit(0.0).alias("before"))
+        kept = start.select("host", ((1 - damping) * F.col("seed")).alias("mass"), "seed", F.lit(0.0).alias("before")).union(mass.select("host", F.lit(0.0), F.lit(0.0), "mass"))
+        turn += 1
+        now = work.keep(f"{name}{turn}", kept.union(passed).groupBy("host").agg(*(F.sum(c).alias(c) for c in ("mass", "seed", "before"))))
+        rest = 1.0 - (now.agg(F.sum("mass")).first()[0] or 0.0)
+        now = now.withColumn("mass", F.col("mass") + rest * F.col("seed"))
         moving = now.where(F.abs(F.col("mass") - F.col("before")) > tolerance * F.col("mass")).limit(1).count() > 0
-        mass = now.select("host", "mass")
-    return mass
+        mass = now.select("host", "seed", "mass")
+        if turn > 1:
+            work.drop(f"{name}{turn - 1}")
+    return mass.select("host", "mass")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], damping: float = 0.85, tolerance: float = 1e-6, factor: float = 1.0) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of each page.
 
     The rule's verdict holds; without one a page is blocked if its host's distrust exceeds ``factor`` times its
-    trust, else allowed. Both run until no host's mass changes by more than ``tolerance`` of it in a round. Seeds weigh by their pages that rules allow or block. Hosts that no mass reaches have trust and distrust 0 and are
+    trust, else allowed. Both run until no host's mass changes by more than ``tolerance`` of it in a round. Seeds weigh by their pages that rules allow or block; trust and distrust each sum to 1, however many seeds they have. Hosts that no mass reaches have trust and distrust 0 and are
     allowed, as are empty hosts. Nulls in url or html count as empty; repeated rows give repeated results; an empty
     table gives none; other columns are left out.
     """
+    work = Workspace(pages.sparkSession, "links")
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     urls = urls.withColumn("found", fitting_rule(F.col("host"), F.col("path"), rules))
-    edges = checkpointed(host_edges(pages))
+    edges = work.keep("edges", host_edges(pages))
     counts = (F.count(F.when(F.col("found.verdict") == v, 1)).alias(v) for v in ("allow", "block"))
-    votes = checkpointed(urls.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"), *counts).where("2 * allow > pages OR 2 * block > pages"))
-    trust, distrust = (votes.where(2 * F.col(v) > F.col("pages")).select("host", F.col(v).cast("double").alias("mass")) for v in ("allow", "block"))
-    linked = edges.limit(1).count() > 0  # without links between hosts the mass stays at the seeds
+    votes = work.keep("votes", urls.groupBy("host").agg(F.count("*").alias("pages"), *counts))
+    trust, distrust = (votes.where((F.col("host") != "") & (2 * F.col(v) > F.col("pages"))).select("host", F.col(v).cast("double").alias("mass")) for v in ("allow", "block"))
     backwards = edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "n")
-    if linked:
-        trust, distrust = _propagated(edges, trust, damping, tolerance), _propagated(backwards, distrust, damping, tolerance)
+    trust, distrust = _propagated(work, "trust", edges, trust, damping, tolerance), _propagated(work, "distrust", backwards, distrust, damping, tolerance)
     scores = trust.select("host", F.col("mass").alias("trust"), F.lit(0.0).alias("distrust")).union(distrust.select("host", F.lit(0.0).alias("trust"), F.col("mass").alias("distrust")))
-    scores = scores.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-    joined = urls.join(scores, "host", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
+    scores = work.keep("scores", scores.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")))
+    joined = salted_join(urls, scores, "host", hot_keys(votes, "host", "pages"), by="page_id", how="left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
     verdict = F.coalesce("found.verdict", F.when(F.col("distrust") > factor * F.col("trust"), "block").otherwise("allow"))
     return joined.select("page_id", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), "trust", "distrust")
