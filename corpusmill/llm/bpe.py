@@ -4,7 +4,7 @@ The encoding of a byte string's prefix ends in exactly one token, and that token
 only one that is compatible with the last token of what precedes it: two tokens are
 compatible if encoding their bytes together gives just these two. So one number for each
 prefix, the last token, holds the encodings of all prefixes. Bytes are appended by
-going on from the last prefix; after an edit only the prefixes behind it are redone.
+going on from the last prefix; after an edit only the prefixes behind it are redone, until they agree with the old ones.
 """
 
 from __future__ import annotations
@@ -102,11 +102,19 @@ class PrefixEncoding:
         self.append(data)
 
     def append(self, more: bytes) -> None:
+        self._extend(more)
+
+    def _extend(self, more: bytes, old: list[int] | None = None, edited: int = 0, shift: int = 0) -> int:
+        """Works out the last tokens of the prefixes that ``more`` adds; returns how many were worked out.
+
+        ``old`` are the last tokens before an edit that ends at ``edited`` and moved what follows by ``shift``. A prefix's last token depends on those
+        of the prefixes within a longest token before it; once that many in a row behind the edit are as they were, so are all others.
+        """
         t = self.tables
         data = self.data = self.data + more
         last, known, fit = self.last, t.compatible.get, t.fit
-        done = len(last) - 1  # prefixes up to this length have their last token
-        begin = max(0, done + 1 - t.longest)
+        first = done = len(last) - 1  # prefixes up to this length have their last token
+        begin, same = max(0, done + 1 - t.longest), 0
         for at, (token, length) in t.endings.iter(data[begin:].decode("latin-1")):
             end = begin + at + 1
             if end > done:
@@ -115,13 +123,19 @@ class PrefixEncoding:
                 if fits or fits is None and fit(before, token):
                     last.append(token)
                     done = end
-
-    def replace(self, start: int, stop: int, new: bytes) -> None:
-        """Puts ``new`` in place of data[start:stop]; prefixes up to ``start`` are kept."""
-        rest = new + self.data[stop:]
+                    if old is not None and end >= edited:
+                        same = same + 1 if old[end - shift] == token else 0
+                        if same >= t.longest:
+                            last.extend(old[end - shift + 1 :])
+                            break
+        return done - first
+
+    def replace(self, start: int, stop: int, new: bytes) -> int:
+        """Puts ``new`` in place of data[start:stop]; prefixes up to ``start`` are kept, and those that the edit doesn't reach. Returns how many were redone."""
+        old, rest = self.last[:], new + self.data[stop:]
         self.data = self.data[:start]
         del self.last[start + 1 :]
-        self.append(rest)
+        return self._extend(rest, old, start + len(new), start + len(new) - stop)
 
     def tokens(self) -> list[int]:
         end, out = len(self.data), []
