@@ -9,6 +9,7 @@ from corpusmill.functions import constants as C
 from corpusmill.operators import metrics as M
 from corpusmill.operators import retrieval as R
 from corpusmill.plans import corpus as K
+from corpusmill.sources.files import written
 
 QUERIES, ORACLES = {}, {}
 
@@ -155,12 +156,11 @@ def signal_saturation(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {K.sql_ranked()}, m AS (SELECT rank() OVER (ORDER BY round(bm25, 9)) + (count(*) OVER (PARTITION BY round(bm25, 9)) - 1) / 2.0 AS a, rank() OVER (ORDER BY round(dense, 9)) + (count(*) OVER (PARTITION BY round(dense, 9)) - 1) / 2.0 AS b FROM ranked) SELECT round(corr(a, b), 6) AS spearman FROM m""")
 def signal_spearman(spark: SparkSession, sf: str) -> DataFrame:
     """Correlation of mid-ranks; ranks come from counts of distinct values, not from one sorted table of all rows."""
-    d = K.ranked(spark, sf).select(F.round("bm25", 9).alias("x"), F.round("dense", 9).alias("y"))
+    d = written(K.ranked(spark, sf).select(F.round("bm25", 9).alias("x"), F.round("dense", 9).alias("y")))
 
     def ranks(c: str) -> DataFrame:
         n = d.groupBy(c).agg(F.count("*").alias("n"))
-        before = F.coalesce(F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return n.select(c, (before + (F.col("n") + 1) / 2.0).alias(f"r_{c}"))
+        return M.values_before(n, c).select(c, (F.col("before") + (F.col("n") + 1) / 2.0).alias(f"r_{c}"))
 
     return d.join(ranks("x"), "x").join(ranks("y"), "y").agg(F.round(F.corr("r_x", "r_y"), 6).alias("spearman"))
 

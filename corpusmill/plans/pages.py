@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from corpusmill.operators import fuzzy
 from corpusmill.operators import retrieval as R
 from corpusmill.plans import corpus as K
 from corpusmill.sources import html
+from corpusmill.sources.files import shared_folder
 from corpusmill.streaming.resume import resumable
 
 QUERIES, ORACLES = {}, {}
@@ -55,7 +55,7 @@ def page_headings(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stream_resume(spark: SparkSession, sf: str) -> DataFrame:
     """events as a stream of files, each user and type counted per batch."""
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/stream-{spark.sparkContext.applicationId}-{abs(hash(sf))}"
+    base = shared_folder(spark, "stream")
     static = K.table(spark, sf, "events")
     stream = spark.readStream.schema(static.schema).parquet(f"{sf}/events.parquet*")
     q = resumable(stream.select("event_id", "event_type", "value"), lambda b: b.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")), f"{base}/out", f"{base}/checkpoint", ["event_id"])

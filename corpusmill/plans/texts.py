@@ -57,14 +57,6 @@ def url_canonical_groups(spark: SparkSession, sf: str) -> DataFrame:
     return u.join(best, "url_key").where("page_id <> best.page_id").select("url_key", F.col("page_id").alias("superseded"), F.col("best.page_id").alias("canonical"))
 
 
-@query(r"""SELECT CASE WHEN host LIKE 'www.%' THEN 'main' WHEN host LIKE 'blog.%' THEN 'blog' WHEN host LIKE 'm.%' THEN 'mobile' WHEN host LIKE '%.org' THEN 'org' ELSE 'other' END AS host_class, count(*) AS n
-    FROM (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages) GROUP BY 1""")
-def link_host_classes(spark: SparkSession, sf: str) -> DataFrame:
-    host = F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
-    cls = F.when(host.startswith("www."), "main").when(host.startswith("blog."), "blog").when(host.startswith("m."), "mobile").when(host.endswith(".org"), "org").otherwise("other")
-    return K.table(spark, sf, "pages").groupBy(cls.alias("host_class")).agg(F.count("*").alias("n"))
-
-
 _LINES = "ln AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, str_split(text, chr(10)) AS l FROM documents))"
 _STRIP = r"regexp_replace(regexp_replace(coalesce(line, ''), '^\s+', ''), '\s+$', '')"
 
@@ -91,14 +83,35 @@ def adjacent_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return K.table(spark, sf, "documents").where(F.col("text").isNotNull()).select("doc_id", kept.cast("bigint").alias("kept"))
 
 
-@query(f"""WITH {_LINES}, p AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM ln), t AS (SELECT doc_id, {_STRIP} AS t FROM p WHERE before IS NULL OR before <> line)
-    SELECT coalesce(r, 'kept') AS reason, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, {_sql_drop()} AS r FROM t) GROUP BY 1""")
+_DOMAINS = sorted(C.DOMAIN_DROPS)
+#: RE2 lacks look-around: words are joined over a broken line by groups, twice, as neighbouring matches share a letter.
+_SQL_REPAIR = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '(\w)\n \n(\w)', '\1 \2', 'g'), '[\t\r ]+', ' ', 'g'), '[  ]{{2,}}', ' ', 'g'), '^\s+', ''), '\s+$', '')"""
+
+
+def _sql_domain_drop() -> str:
+    rules = " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for n, p in C.UNIVERSAL_DROPS)
+    more = " ".join(f"WHEN domain = '{d}' AND regexp_matches(t, '{p}') THEN '{n}'" for d in C.DOMAIN_DROPS for n, p in C.DOMAIN_DROPS[d])
+    return f"CASE WHEN t = '' THEN 'empty' {rules} {more} WHEN length(t) < {C.MIN_SUBSTANTIVE_CHARS} AND NOT regexp_matches(t, '{C.SUBSTANCE}') THEN 'thin_no_substance' END"
+
+
+#: Lines that the domains' rules are about, one for each document, as the invented prose has none.
+_DOMAIN_LINES = ("this applies to", "Route 2 for goods", "Annual dinner and membership application of the committee", "Book a demo", "This guidance is now withdrawn and out of date", "Table of contents", "title page", "The supplier must give notice in writing   to the authority")
+
+
+@query(f"""WITH {_LINES}, p AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM ln),
+    a AS (SELECT doc_id, line FROM p WHERE before IS NULL OR before <> line UNION ALL SELECT doc_id, {list(_DOMAIN_LINES)}[CAST(doc_id % {len(_DOMAIN_LINES)} AS INTEGER) + 1] FROM documents),
+    t AS (SELECT doc_id, {_DOMAINS}[CAST(doc_id % {len(_DOMAINS)} AS INTEGER) + 1] AS domain, {_SQL_REPAIR.format(x='line')} AS t FROM a)
+    SELECT coalesce(r, 'kept') AS reason, count(*) AS n, count(DISTINCT doc_id) AS n_docs, CAST(sum(CASE WHEN r IS NULL THEN length(t) ELSE 0 END) AS BIGINT) AS kept_chars FROM (SELECT doc_id, t, {_sql_domain_drop()} AS r FROM t) GROUP BY 1""")
 def filter_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """Adjacent duplicates go, then each rule drops what it names; counts of what is kept and dropped."""
+    """Adjacent duplicates go, the rest is repaired, then each rule, the domain's own too, drops what it names; counts of what is kept and dropped."""
+    at = lambda values: F.get(F.array(*(F.lit(v) for v in values)), (F.col("doc_id") % len(values)).cast("int"))
     ls = F.split("text", "\n")
     kept = F.filter(ls, lambda x, i: (i == 0) | (x != F.get(ls, i - 1)))
-    rows = K.table(spark, sf, "documents").select("doc_id", F.explode(kept).alias("line"))
-    return rows.groupBy(F.coalesce(T.drop_reason(F.col("line")), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+    d = K.table(spark, sf, "documents")
+    rows = d.select("doc_id", F.explode(kept).alias("line")).union(d.select("doc_id", at(_DOMAIN_LINES))).select("doc_id", at(_DOMAINS).alias("domain"), T.repaired(F.col("line")).alias("t"))
+    reason = F.coalesce(T.drop_reason(F.col("t"), F.col("domain")), F.lit("kept"))
+    rows = rows.withColumn("reason", reason)
+    return rows.groupBy("reason").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"), F.sum(F.when(F.col("reason") == "kept", F.length("t")).otherwise(0)).alias("kept_chars"))
 
 
 @query(f"WITH {K.SQL_TOKENS}, {K.SQL_GOLD} SELECT * FROM gold")
@@ -165,11 +178,12 @@ def token_bands(spark: SparkSession, sf: str) -> DataFrame:
     return K.table(spark, sf, "documents").groupBy(T.token_band(T.est_tokens(F.col("text"))).alias("band")).agg(F.count("*").alias("n_docs"))
 
 
-@query("""SELECT count(*) AS n, round(avg(t), 6) AS mean, CAST(quantile_cont(t, 0.5) AS DOUBLE) AS median, round(CAST(quantile_cont(t, 0.95) AS DOUBLE), 6) AS p95, CAST(max(t) AS BIGINT) AS max, round(100.0 * avg(CASE WHEN t > 512 THEN 1 ELSE 0 END), 6) AS pct_over_512
+@query("""SELECT count(*) AS n, round(avg(t), 6) AS mean, CAST(quantile_cont(t, 0.5) AS DOUBLE) AS median, round(CAST(quantile_cont(t, 0.95) AS DOUBLE), 6) AS p95, CAST(max(t) AS BIGINT) AS max, round(100.0 * avg(CASE WHEN t > 512 THEN 1 ELSE 0 END), 6) AS pct_over_512, round(100.0 * avg(CASE WHEN t > 1024 THEN 1 ELSE 0 END), 6) AS pct_over_1024, round(100.0 * avg(CASE WHEN t > 2048 THEN 1 ELSE 0 END), 6) AS pct_over_2048,
+    CAST(quantile_cont(t, 0.25) AS DOUBLE) AS p25, CAST(quantile_cont(t, 0.75) AS DOUBLE) AS p75, CAST(min(t) AS BIGINT) AS min
     FROM (SELECT len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents)""")
 def token_summary(spark: SparkSession, sf: str) -> DataFrame:
     t = K.table(spark, sf, "documents").select(F.size(T.words(F.col("text"))).cast("bigint").alias("t"))
-    return t.agg(F.count("*").alias("n"), F.round(F.avg("t"), 6).alias("mean"), F.percentile("t", 0.5).alias("median"), F.round(F.percentile("t", 0.95), 6).alias("p95"), F.max("t").alias("max"), F.round(100 * F.avg(F.when(F.col("t") > 512, 1).otherwise(0)), 6).alias("pct_over_512"))
+    return t.agg(F.count("*").alias("n"), F.round(F.avg("t"), 6).alias("mean"), F.percentile("t", 0.5).alias("median"), F.round(F.percentile("t", 0.95), 6).alias("p95"), F.max("t").alias("max"), *(F.round(100 * F.avg(F.when(F.col("t") > n, 1).otherwise(0)), 6).alias(f"pct_over_{n}") for n in (512, 1024, 2048)), F.percentile("t", 0.25).alias("p25"), F.percentile("t", 0.75).alias("p75"), F.min("t").alias("min"))
 
 
 @query("""SELECT lang, CASE WHEN quality = 1 THEN 'GOOD' WHEN toxic = 1 THEN 'LOW_VALUE' ELSE 'INCOMPLETE' END AS label, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((1, 2), (2))""")

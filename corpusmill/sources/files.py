@@ -2,11 +2,57 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+_own_folders: dict[str, str] = {}
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``; only on one machine a temporary folder where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own_folders:
+        _own_folders[app] = tempfile.mkdtemp(prefix="corpusmill-")
+    return _own_folders[app]
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _delete_quietly(spark: SparkSession, path: str) -> None:
+    try:
+        delete_folder(spark, path)
+    except Exception:  # noqa: BLE001 - the session or its JVM may be gone by now
+        pass
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's name below ``shared_root``; what lies there is deleted as the driver's Python ends."""
+    folder = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete_quietly, spark, folder)
+    return folder
+
+
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """df as a table in the shared folder, for what is read more than once."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Rows of JSON lines; blank lines are skipped and a missing path is empty."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -54,8 +100,12 @@ def insert_or_ignore(held: DataFrame, new: DataFrame, key: list[str]) -> DataFra
     return held.unionByName(new.join(held.select(*key), key, "left_anti").dropDuplicates(key))
 
 
-def insert_or_replace(held: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    return held.join(new.select(*key), key, "left_anti").unionByName(new)
+def insert_or_replace(held: DataFrame, new: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """held, with new rows in place of those of equal key; of several new rows of a key the last by all columns stays, unless ``order`` names a column."""
+    rest = [c for c in new.columns if c not in key]
+    by = F.struct(*([order] if order else []), *rest)
+    latest = new.groupBy(*key).agg(F.max_by(F.struct(*rest), by).alias("_r")).select(*key, "_r.*") if rest else new.dropDuplicates(key)
+    return held.join(latest.select(*key), key, "left_anti").unionByName(latest)
 
 
 def flagged(rows: DataFrame, flags: DataFrame, key: str, column: str) -> DataFrame:
@@ -68,3 +118,34 @@ def flagged(rows: DataFrame, flags: DataFrame, key: str, column: str) -> DataFra
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """path, bytes and SHA-256 of every file."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def write_vectors(rows: DataFrame, path: str, id_column: str = "chunk_id", vector: str = "vector") -> None:
+    """Vectors as float arrays with the other columns as payload; of equal ids one stays."""
+    rows.withColumn(vector, F.col(vector).cast("array<float>")).dropDuplicates([id_column]).write.mode("overwrite").parquet(path)
+
+
+def write_table(rows: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+    """A cache of rows, such as the evaluation's candidates, as Parquet."""
+    w = rows.write.mode("overwrite")
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+
+
+def write_csv(rows: DataFrame, path: str, fields: list[str] | None = None) -> None:
+    """Results with a header; ``fields`` fixes the columns and their order, missing ones are empty."""
+    cols = [F.col(f) if f in rows.columns else F.lit(None).cast("string").alias(f) for f in fields] if fields else ["*"]
+    rows.select(*cols).write.mode("overwrite").option("header", True).csv(path)
+
+
+def planned(plan: DataFrame, apply: bool, write) -> DataFrame:
+    """The plan, after ``write(plan)`` if it is to be applied; else nothing is written."""
+    if apply:
+        write(plan)
+    return plan
+
+
+def changes_table(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Rows of "changes affecting" tables that were saved as CSV, cells stripped, rows without any cell left out."""
+    rows = read_csv(spark, path, schema)
+    rows = rows.select(*(F.trim(c).alias(c) if t == "string" else F.col(c) for c, t in rows.dtypes))
+    return rows.where(F.concat_ws("", *(F.col(c).cast("string") for c in rows.columns)) != "")
