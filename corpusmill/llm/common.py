@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.sources.files import delete_folder, shared_folder
+
 #: Rows that Python handles at once; long texts make larger slices costly.
 SLICE_ROWS = 512
 #: Rows that Spark puts into one Arrow batch while a step is written, which both the JVM and Python hold.
@@ -28,33 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return folder
-
-
-def delete_folder(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def _delete_quietly(spark: SparkSession, path: str) -> None:
-    try:
-        delete_folder(spark, path)
-    except Exception:  # noqa: BLE001 - the session or its JVM may be gone by now
-        pass
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's name below ``shared_root``; what lies there is deleted as the driver's Python ends."""
-    folder = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete_quietly, spark, folder)
-    return folder
-
-
 @contextmanager
 def settings(spark: SparkSession, **values: str):
     """Settings of the session, with ``__`` for dots, that hold inside the block and are as before after it."""
