@@ -115,7 +115,7 @@ def strip_number(c: Column) -> Column:
 
 def ancestors(node: Column) -> Column:
     """Ids of a node's ancestors in its document, nearest first: the last dash-separated part is dropped again and again."""
-    doc, path = F.substring_index(node, "__", 1), F.element_at(F.split(node, "__", 2), 2)
+    doc, path = F.substring_index(node, "__", 1), F.coalesce(F.try_element_at(F.split(node, "__", 2), F.lit(2)), F.lit(""))
     bits = F.split(path, "-")
     return F.when(F.size(bits) > 1, F.transform(F.sequence(F.size(bits) - 1, F.lit(1), F.lit(-1)), lambda k: F.concat(doc, F.lit("__"), F.array_join(F.slice(bits, 1, k), "-")))).otherwise(F.array().cast("array<string>"))
 

@@ -27,7 +27,7 @@ def _result(status: str, node: Column | None, document: Column | None, confidenc
 def located(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """refs (look_doc, look_unit, look_parts) with node and how: EXACT, the deepest existing ANCESTOR of the locator, or ABSENT."""
     unit = F.concat(F.col("look_doc"), F.lit("__"), F.col("look_unit"))
-    r = refs.withColumn("_id", F.when(F.size("look_parts") > 0, F.concat_ws("-", unit, F.array_join("look_parts", "-"))))
+    r = refs.withColumn("_id", F.when((F.size("look_parts") > 0) & unit.isNotNull(), F.concat_ws("-", unit, F.array_join("look_parts", "-"))))
     found = G.rolled_up(r.select(F.col("_id").alias("id")).where("id IS NOT NULL").distinct(), nodes).select(F.col("id").alias("_id"), "retrieval_id", "how")
     above = (F.col("how") == "ANCESTOR") & (F.col("retrieval_id") != unit)
     how = F.when(F.col("how") == "DIRECT", "EXACT").when(above, "ANCESTOR").otherwise("ABSENT")
