@@ -94,7 +94,8 @@ def test_candidates_reach_the_reference_depths(spark, tmp_path):
     for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet/*.parquet'")
     for name, k in (("two_lane_search", 100), ("rank_movement", 300), ("weight_sweep", 300), ("hybrid_fusion", 100)):
-        want = con.execute(catalogue.ORACLES[name].replace("r <= 30", f"r <= {k}"))
+        assert f"r <= {k} UNION" in catalogue.ORACLES[name]
+        want = con.execute(catalogue.ORACLES[name])
         df = catalogue.QUERIES[name](spark, sf)
         want = {tuple(x[[d[0] for d in want.description].index(c)] for c in df.columns) for x in want.fetchall()}
         got, flat = {tuple(r) for r in df.collect()}, lambda rows: [x for r in sorted(rows, key=repr) for x in r]
