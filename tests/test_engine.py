@@ -183,10 +183,12 @@ def test_graph(spark):
 def test_references_of_all_types(spark, tmp_path):
     pages = [(1, "<p>Sections 83B(5)(b)(i) and\nregulation 7A, PART 2</p> part 3"), (2, "schedule 4(1), apart 5, section x"), (3, None), (4, "none")]
     spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([], "l_orderkey long, l_linenumber int, l_suppkey long, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {tuple(r)[:4] + (tuple(r.parts),) for r in catalogue.QUERIES["page_references"](spark, str(tmp_path)).collect()}
     assert got == {(1, 0, "SECTION", "83B(5)(b)(i)", ("83B", "5", "b", "i")), (1, 1, "REGULATION", "7A", ("7A",)), (1, 2, "PART", "2", ("2",)), (1, 3, "PART", "3", ("3",)), (2, 0, "SCHEDULE", "4(1)", ("4", "1"))}
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for t in ("pages", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     assert {r[:4] + (tuple(r[4]),) for r in con.execute(catalogue.ORACLES["page_references"]).fetchall()} == got
     counts = {tuple(r) for r in catalogue.QUERIES["reference_counts"](spark, str(tmp_path)).collect()}
     assert counts == {(1, "SECTION", 1), (1, "REGULATION", 1), (1, "PART", 2), (2, "SCHEDULE", 1)}
