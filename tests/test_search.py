@@ -53,3 +53,14 @@ def test_arm_e_shuffles_no_scores_of_all_documents(spark, corpus):
     c, terms, vectors = corpus
     rows, moved = shuffled(spark, lambda: X.searched(c, terms, vectors, **X.ARMS["E"]).collect())
     assert len(rows) == 10 * QUERIES and moved < 1_500_000, moved
+
+
+def test_arm_f_is_the_same_in_batches_of_queries(spark, corpus, monkeypatch):
+    from corpusmill.operators import lexical as L
+
+    c, terms, vectors = corpus
+    rows, moved = shuffled(spark, lambda: X.searched(c, terms, vectors, **X.ARMS["F"]).collect())
+    assert len(rows) == 10 * QUERIES and moved < 1_500_000, moved
+    monkeypatch.setattr(L, "BATCH_TERMS", 700)
+    again = L.Lexical(c.tokens, terms)
+    assert len(again.batches) == 2 and {(r.query_id, r.doc_id) for r in R.top(again.best(c.meta, 40), ["query_id"], "bm25", 40).collect()} == plainly(c, terms, 40, ["query_id"])
