@@ -64,3 +64,15 @@ def test_arm_f_is_the_same_in_batches_of_queries(spark, corpus, monkeypatch):
     monkeypatch.setattr(L, "BATCH_TERMS", 700)
     again = L.Lexical(c.tokens, terms)
     assert len(again.batches) == 2 and {(r.query_id, r.doc_id) for r in R.top(again.best(c.meta, 40), ["query_id"], "bm25", 40).collect()} == plainly(c, terms, 40, ["query_id"])
+
+
+def test_lanes_take_the_plain_operators_best_and_phrases_add_up(spark, corpus):
+    from corpusmill.operators import lexical as L
+
+    c, terms, _ = corpus
+    by = ["query_id", "lane"]
+    assert {(r.query_id, r.doc_id) for r in R.top(L.Lexical(c.tokens, terms).best(c.meta, 30, True), by, "bm25", 30).collect()} == plainly(c, terms, 30, by)
+    phrases = spark.createDataFrame([(1, "~a", "w1", 0.9), (1, "~a", "w2", 0.5), (1, "w3", "w3", 1.0), (2, "w2", "w2", 1.0)], "query_id long, phrase string, term string, weight double")
+    want = {(r.query_id, r.doc_id): r.bm25 for r in R.bm25(c.tokens, phrases).collect()}
+    pairs = spark.range(N).crossJoin(spark.range(1, 4).toDF("query_id")).select("query_id", F.col("id").alias("doc_id"))
+    assert {(r.query_id, r.doc_id): r.bm25 for r in L.Lexical(c.tokens, phrases).scores(pairs).collect()} == pytest.approx(want)
