@@ -11,14 +11,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusmill.llm.common import map_slices
+from corpusmill.llm.common import kept_in_worker, map_slices
 from corpusmill.llm.int_table import IntTable
 from corpusmill.llm.pretokens import CACHE_CHARS, CACHE_CHUNKS, Slots, chunks_of, find_pretokens
 
@@ -270,7 +269,7 @@ class Codec:
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
+@kept_in_worker
 def _codec(path: str) -> Codec:
     return Codec(PrefixTables.from_file(path))
 

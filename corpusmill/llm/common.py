@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,16 +87,49 @@ def id_crc32(column: str | Column) -> Column:
     return F.crc32(F.encode(F.coalesce(F.col(column).cast("string") if isinstance(column, str) else column.cast("string"), F.lit("")), "UTF-8"))
 
 
+_worker_caches: dict[str, list] = {}
+
+
+def kept_in_worker(build: Callable) -> Callable:
+    """``build`` with its last two results kept in a Python worker until that serves a task of another module's operator."""
+    cached = lru_cache(maxsize=2)(build)
+    _worker_caches.setdefault(build.__module__, []).append(cached)
+    return cached
+
+
+@lru_cache(maxsize=1)
+def _trim() -> Callable | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim  # glibc keeps freed memory else, and an executor's workers add up
+    except (AttributeError, OSError):
+        return None
+
+
+def hand_over(module: str) -> None:
+    """Drops what operators of other modules keep in this worker, and returns free memory to the system."""
+    for owner, caches in _worker_caches.items():
+        if owner != module:
+            for cached in caches:
+                cached.cache_clear()
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """df.mapInArrow with a function that ``make`` builds once a task, over slices of bounded rows."""
 
+    module = make.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hand_over(module)  # workers are used again by other operators
         work = make()
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 out = work(batch.slice(start, SLICE_ROWS))
                 if out is not None and out.num_rows:
                     yield out
-        pa.default_memory_pool().release_unused()  # workers are used again by other operators
+        work = batch = out = None
+        hand_over(module)
 
     return df.mapInArrow(run, schema)

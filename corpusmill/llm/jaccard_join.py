@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import Workspace, hot_keys, map_slices, salted_join
+from corpusmill.llm.common import Workspace, hand_over, hot_keys, map_slices, salted_join
 from corpusmill.llm.components import components
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -96,6 +96,7 @@ def common_shingles(documents: DataFrame, words: int, most: int, least: int = 32
     """
 
     def counted(batches):
+        hand_over(__name__)
         seen: list[np.ndarray] = []
         held, parts = 0, []
 
@@ -117,6 +118,8 @@ def common_shingles(documents: DataFrame, words: int, most: int, least: int = 32
             keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
             counts = np.bincount(at, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys[counts >= 4].view(np.int64)), pa.array(counts[counts >= 4])], ["shingle", "n"])
+        seen = parts = keys = counts = at = None
+        hand_over(__name__)
 
     found = documents.select("text").mapInArrow(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     rows = found.orderBy(F.desc("n"), "shingle").limit(most).toArrow()

@@ -9,13 +9,12 @@ sequences that have no mergeable pair left; what survives is counted.
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusmill.llm.common import map_slices
+from corpusmill.llm.common import kept_in_worker, map_slices
 from corpusmill.llm.int_table import IntTable
 from corpusmill.llm.pretokens import CACHE_CHARS, CACHE_CHUNKS, Slots, chunks_of, find_pretokens
 
@@ -76,7 +75,7 @@ class MergeTable:
         return result
 
 
-@lru_cache(maxsize=2)
+@kept_in_worker
 def _table(path: str) -> MergeTable:
     return MergeTable.from_json(path)
 
@@ -126,7 +125,7 @@ class TokenCounter:
         return sizes.tolist()
 
 
-@lru_cache(maxsize=2)
+@kept_in_worker
 def _counter(path: str) -> TokenCounter:
     with open(path, encoding="utf-8") as file:
         special = tuple(x["content"] for x in json.load(file)["added_tokens"])

@@ -6,10 +6,12 @@ import re
 import zlib
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import fingerprints, jaccard_join, langid, toxicity
+from corpusmill.llm import common, fingerprints, jaccard_join, langid, packing, toxicity
 from corpusmill.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, score string, key string"
@@ -218,3 +220,23 @@ def test_sketches_merge_and_estimate(spark):
     both = fingerprints.sketch(F.array_union(fingerprints.shingle_hashes(F.col("a"), 1), fingerprints.shingle_hashes(F.col("b"), 1)), 256)
     r = df.select((fingerprints.merge(sa, sb, 256) == both).alias("m"), fingerprints.resemblance(sa, sb, 256).alias("j"), fingerprints.containment(sa, sb, 256).alias("c"), fingerprints.distinct_count(sa, 256).alias("n"), (fingerprints.decoded(fingerprints.encoded(sa)) == sa).alias("d")).first()
     assert r.m and r.d and abs(r.j - 1 / 3) < 0.12 and abs(r.c - 0.5) < 0.15 and abs(r.n - 3000) < 700
+
+
+def test_a_worker_drops_what_another_operator_kept_there():
+    class Here:
+        """Runs what would be a task in this process."""
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["one two", None])], ["doc_id", "text"])
+    packing._encoder.cache_clear()
+    for _ in range(2):
+        assert sum(b.num_rows for b in packing.tokenized(Here(), path, 2, 4096)([texts])) == 2
+    assert packing._encoder.cache_info()[:2] == (1, 1)
+    assert [b.num_rows for b in common.map_slices(Here(), lambda: lambda batch: batch, "")([texts])] == [2]
+    assert packing._encoder.cache_info().currsize == 0
